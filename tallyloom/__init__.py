@@ -1 +1,9 @@
 """Moderation-data engine on PySpark: DataFrame in, DataFrame out."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel with the plan, so that the package
+# need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
