@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.near_copies import NearCopies, near_copies
+from tallyloom.llm.split_overlap import SplitOverlap, split_overlap
 
 
 def _texts(spark: SparkSession, at: str, **columns: str) -> DataFrame:
@@ -23,4 +24,30 @@ def p5_found(spark: SparkSession, at: str) -> DataFrame:
     return pairs.select(F.col("grp").alias("tbl"), F.col("id_a").alias("src_pos_a"), F.col("id_b").alias("src_pos_b"))
 
 
-QUERIES = {"p5_found": p5_found}
+def _overlap(spark: SparkSession, at: str) -> SplitOverlap:
+    fields = ("body", "positive_example_1", "negative_example_1")
+    test = spark.read.parquet(f"{at}/test.parquet").select(F.col("src_pos").alias("id"), F.lit("body").alias("field"), F.col("body").alias("text"))
+    train = spark.read.parquet(f"{at}/train.parquet")
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in fields)))
+    return split_overlap(test, train.select(F.col("src_pos").alias("id"), each.alias("x")).select("id", "x.field", "x.text"))
+
+
+def p3_found(spark: SparkSession, at: str) -> DataFrame:
+    rows = _overlap(spark, at).rows()
+    return rows.select(F.col("held_id").alias("test_src_pos"), F.col("other_id").alias("train_src_pos"), F.col("field").alias("train_field"))
+
+
+def p3_by_source(spark: SparkSession, at: str) -> DataFrame:
+    """Overlaps by field and by the subreddit of the test row."""
+    test = spark.read.parquet(f"{at}/test.parquet")
+    source = F.regexp_replace(F.lower(F.trim("subreddit")), "^/?r/", "").alias("subreddit")
+    rows = _overlap(spark, at).rows().join(test.select(F.col("src_pos").alias("held_id"), source), "held_id")
+    return rows.groupBy("field", "subreddit").agg(
+        F.count("*").alias("n_overlaps"),
+        F.countDistinct("held_id").alias("n_test_rows"),
+        F.count_if(F.col("shared_chunks") == 1).alias("n_whole"),
+        F.round(F.avg("shared_chunks"), 6).alias("mean_shared_chunks"),
+    )
+
+
+QUERIES = {"p3_found": p3_found, "p3_by_source": p3_by_source, "p5_found": p5_found}
