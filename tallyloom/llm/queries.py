@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.llm.exact_copies import Copies, formatting_copies
 from tallyloom.llm.near_copies import NearCopies, near_copies
 from tallyloom.llm.split_overlap import SplitOverlap, split_overlap
 
@@ -15,6 +16,20 @@ def _texts(spark: SparkSession, at: str, **columns: str) -> DataFrame:
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def _copies(spark: SparkSession, at: str) -> Copies:
+    return formatting_copies(_texts(spark, at, train="body", data3_positive="comment_text"), id_col="src_pos", text_col="text", group_col="tbl")
+
+
+def p1_found(spark: SparkSession, at: str) -> DataFrame:
+    copies = _copies(spark, at).copies
+    return copies.select(F.col("grp").alias("tbl"), F.col("first_id").alias("first_src_pos"), F.col("copy_id").alias("copy_src_pos"))
+
+
+def p1_collapsed(spark: SparkSession, at: str) -> DataFrame:
+    """Every comment once, with its number of copies."""
+    return _copies(spark, at).collapsed().select(F.col("grp").alias("tbl"), F.col("id").alias("src_pos"), "copies")
+
+
 def _near(spark: SparkSession, at: str) -> NearCopies:
     return near_copies(_texts(spark, at, train="body", data3_negative="comment_text"), id_col="src_pos", text_col="text", group_col="tbl")
 
@@ -50,4 +65,4 @@ def p3_by_source(spark: SparkSession, at: str) -> DataFrame:
     )
 
 
-QUERIES = {"p3_found": p3_found, "p3_by_source": p3_by_source, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_by_source": p3_by_source, "p5_found": p5_found}
