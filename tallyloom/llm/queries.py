@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.exact_copies import Copies, formatting_copies
+from tallyloom.llm.leaked_passages import leaked_passages, without_leaks
 from tallyloom.llm.near_copies import NearCopies, near_copies
 from tallyloom.llm.split_overlap import SplitOverlap, split_overlap
 
@@ -65,4 +66,28 @@ def p3_by_source(spark: SparkSession, at: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_by_source": p3_by_source, "p5_found": p5_found}
+def _leaks(spark: SparkSession, at: str) -> DataFrame:
+    docs, items = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "eval_items"))
+    return leaked_passages(docs, items, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text")
+
+
+def p6_found(spark: SparkSession, at: str) -> DataFrame:
+    return _leaks(spark, at).select("doc_id", "item_id").distinct()
+
+
+def p6_by_item(spark: SparkSession, at: str) -> DataFrame:
+    """Every item, with the documents that hold a passage of it."""
+    leaks = _leaks(spark, at).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("n_words").alias("longest"))
+    items = spark.read.parquet(f"{at}/eval_items.parquet").select("item_id", "item_source")
+    return items.join(leaks, "item_id", "left").select(
+        "item_id", "item_source", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("longest", F.lit(0)).alias("longest")
+    )
+
+
+def p6_clean_corpus(spark: SparkSession, at: str) -> DataFrame:
+    """Documents that stay when those with leaked passages are removed."""
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    return without_leaks(docs, _leaks(spark, at), id_col="doc_id").select("doc_id", "source", "n_chars")
+
+
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_by_source": p3_by_source, "p5_found": p5_found, "p6_found": p6_found, "p6_by_item": p6_by_item, "p6_clean_corpus": p6_clean_corpus}

@@ -79,16 +79,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def coded_words(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def coded_words(texts: Iterable[str | None], slice_chars: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Offsets (one more than texts), a code for each word of all texts in a
     row, and the unique words the codes stand for."""
-    flat: list[str] = []
-    ends = [0]
+    index: dict[str, int] = {}
+    ends, parts, flat = [0], [np.empty(0, np.int64)], []
+    chars = done = 0
+
+    def flush() -> None:
+        codes, unique = pd.factorize(np.asarray(flat, dtype=object))
+        own = np.fromiter((index.setdefault(w, len(index)) for w in unique), np.int64, len(unique))
+        parts.append(own[codes] if len(own) else np.empty(0, np.int64))
+        flat.clear()
+
     for text in texts:
         flat += words(text)
-        ends.append(len(flat))
-    codes, unique = pd.factorize(np.asarray(flat, dtype=object))
-    return np.asarray(ends, np.int64), codes, unique
+        ends.append(done + len(flat))
+        chars += len(text or "")
+        if chars >= slice_chars:
+            done += len(flat)
+            chars = 0
+            flush()
+    flush()
+    return np.asarray(ends, np.int64), np.concatenate(parts), list(index)
 
 
 def bags(ends: np.ndarray, codes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
