@@ -41,10 +41,12 @@ DEEPEST = 4
 #: Rows up to which a group is compared row by row; rows of a common word
 #: beyond which it is split by the next word.
 SMALL_GROUP, SPLIT_GROUP = 400, 50_000
-#: Candidates for a row that are let through before the prefix is lengthened.
-CANDIDATES = 60
+#: The prefix is lengthened if the candidates cost more than the combinations
+#: of words that the next length makes; one of these costs as much as so many
+#: candidates.
+COMBINATION = 4
 #: Words in a row's part of the prefix beyond which it is compared by bitmap.
-LONG_TAIL = 40
+LONG_TAIL = 30
 
 
 @dataclass(frozen=True)
@@ -203,6 +205,13 @@ def _prefixes(permille: int, frequent: np.ndarray):
     return rows
 
 
+def _combinations(n: np.ndarray, k: int) -> float:
+    total = np.ones(len(n))
+    for x in range(k):
+        total *= np.maximum(n - x, 0) / (x + 1)
+    return float(total.sum())
+
+
 def _by_further_words(n, room, depth, bits, tail_ends, tail, permille) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a large group: rows that share the further words that their
     number of candidates calls for."""
@@ -249,8 +258,10 @@ def _by_further_words(n, room, depth, bits, tail_ends, tail, permille) -> tuple[
         sign, owner = sign[order], owner[order]
         edge = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1], [True]]))
         run = np.diff(edge)
-        if more < DEEPEST - depth and (run * (run - 1) // 2).sum() > CANDIDATES * len(rest):
-            continue
+        if more < DEEPEST - depth:
+            wider = np.minimum(lengths[rest], room[rest] + more + 1)
+            if (run * (run - 1) // 2).sum() > COMBINATION * _combinations(wider, more + 1):
+                continue
         at = np.arange(len(sign))
         for k, j in sj.ranges(at + 1, np.repeat(edge[1:], run)):
             keep(owner[k], owner[j])
