@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.exact_copies import Copies, formatting_copies
 from tallyloom.llm.leaked_passages import leaked_passages, without_leaks
+from tallyloom.llm.lookalikes import consistent_form
 from tallyloom.llm.near_copies import NearCopies, near_copies
 from tallyloom.llm.split_overlap import SplitOverlap, split_overlap
 
@@ -31,6 +32,19 @@ def p1_collapsed(spark: SparkSession, at: str) -> DataFrame:
     return _copies(spark, at).collapsed().select(F.col("grp").alias("tbl"), F.col("id").alias("src_pos"), "copies")
 
 
+def _consistent(spark: SparkSession, at: str) -> DataFrame:
+    return consistent_form(_texts(spark, at, train="body", data3_positive="comment_text"), id_col="src_pos", text_col="text", group_col="tbl")
+
+
+def p4_found(spark: SparkSession, at: str) -> DataFrame:
+    return _consistent(spark, at).where("variants <> 0").select(F.col("grp").alias("tbl"), F.col("id").alias("src_pos"))
+
+
+def p4_consistent_text(spark: SparkSession, at: str) -> DataFrame:
+    """Every text in its one consistent form."""
+    return _consistent(spark, at).select(F.col("grp").alias("tbl"), F.col("id").alias("src_pos"), "text", "variants")
+
+
 def _near(spark: SparkSession, at: str) -> NearCopies:
     return near_copies(_texts(spark, at, train="body", data3_negative="comment_text"), id_col="src_pos", text_col="text", group_col="tbl")
 
@@ -90,4 +104,4 @@ def p6_clean_corpus(spark: SparkSession, at: str) -> DataFrame:
     return without_leaks(docs, _leaks(spark, at), id_col="doc_id").select("doc_id", "source", "n_chars")
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_by_source": p3_by_source, "p5_found": p5_found, "p6_found": p6_found, "p6_by_item": p6_by_item, "p6_clean_corpus": p6_clean_corpus}
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_by_source": p3_by_source, "p4_found": p4_found, "p4_consistent_text": p4_consistent_text, "p5_found": p5_found, "p6_found": p6_found, "p6_by_item": p6_by_item, "p6_clean_corpus": p6_clean_corpus}
