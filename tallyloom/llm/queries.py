@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.llm.disclosure import personal_details, sanitised
 from tallyloom.llm.exact_copies import Copies, formatting_copies
 from tallyloom.llm.leaked_passages import leaked_passages, without_leaks
 from tallyloom.llm.lookalikes import consistent_form
@@ -54,6 +55,29 @@ def p5_found(spark: SparkSession, at: str) -> DataFrame:
     return pairs.select(F.col("grp").alias("tbl"), F.col("id_a").alias("src_pos_a"), F.col("id_b").alias("src_pos_b"))
 
 
+def _free_texts(spark: SparkSession, at: str) -> DataFrame:
+    train, data3 = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("train", "data3_positive"))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in ("body", "positive_example_1"))))
+    one = train.select(F.lit("train").alias("grp"), F.col("src_pos").alias("id"), each.alias("x")).select("grp", "id", "x.field", "x.text")
+    return one.unionByName(
+        data3.select(F.lit("data3_positive").alias("grp"), F.col("src_pos").alias("id"), F.lit("comment_text").alias("field"), F.col("comment_text").alias("text"))
+    )
+
+
+def _details(spark: SparkSession, at: str) -> DataFrame:
+    return personal_details(_free_texts(spark, at), spark.read.parquet(f"{at}/name_list.parquet")).details
+
+
+def p2_found(spark: SparkSession, at: str) -> DataFrame:
+    return _details(spark, at).select(F.col("grp").alias("tbl"), F.col("id").alias("src_pos"), "field", "kind", F.col("start").alias("start_pos"))
+
+
+def p2_sanitised(spark: SparkSession, at: str) -> DataFrame:
+    """Every text with placeholders for its personal details."""
+    texts = sanitised(_free_texts(spark, at), _details(spark, at))
+    return texts.select(F.col("grp").alias("tbl"), F.col("id").alias("src_pos"), "field", "text")
+
+
 def _overlap(spark: SparkSession, at: str) -> SplitOverlap:
     fields = ("body", "positive_example_1", "negative_example_1")
     test = spark.read.parquet(f"{at}/test.parquet").select(F.col("src_pos").alias("id"), F.lit("body").alias("field"), F.col("body").alias("text"))
@@ -104,4 +128,4 @@ def p6_clean_corpus(spark: SparkSession, at: str) -> DataFrame:
     return without_leaks(docs, _leaks(spark, at), id_col="doc_id").select("doc_id", "source", "n_chars")
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_by_source": p3_by_source, "p4_found": p4_found, "p4_consistent_text": p4_consistent_text, "p5_found": p5_found, "p6_found": p6_found, "p6_by_item": p6_by_item, "p6_clean_corpus": p6_clean_corpus}
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_sanitised": p2_sanitised, "p3_found": p3_found, "p3_by_source": p3_by_source, "p4_found": p4_found, "p4_consistent_text": p4_consistent_text, "p5_found": p5_found, "p6_found": p6_found, "p6_by_item": p6_by_item, "p6_clean_corpus": p6_clean_corpus}
