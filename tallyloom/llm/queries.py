@@ -10,6 +10,8 @@ from tallyloom.llm.exact_copies import Copies, formatting_copies
 from tallyloom.llm.leaked_passages import leaked_passages, without_leaks
 from tallyloom.llm.lookalikes import consistent_form
 from tallyloom.llm.near_copies import NearCopies, near_copies
+from tallyloom.llm.reading_level import fit_ranker, reading_levels
+from tallyloom.llm.source_mix import Mix, mix_sources
 from tallyloom.llm.split_overlap import SplitOverlap, split_overlap
 
 
@@ -128,4 +130,42 @@ def p6_clean_corpus(spark: SparkSession, at: str) -> DataFrame:
     return without_leaks(docs, _leaks(spark, at), id_col="doc_id").select("doc_id", "source", "n_chars")
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_sanitised": p2_sanitised, "p3_found": p3_found, "p3_by_source": p3_by_source, "p4_found": p4_found, "p4_consistent_text": p4_consistent_text, "p5_found": p5_found, "p6_found": p6_found, "p6_by_item": p6_by_item, "p6_clean_corpus": p6_clean_corpus}
+def _mix(spark: SparkSession, at: str) -> Mix:
+    docs, targets = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "mix_target"))
+    return mix_sources(docs, targets, id_col="doc_id", text_col="text", source_col="source")
+
+
+def p7_mix(spark: SparkSession, at: str) -> DataFrame:
+    """The documents of every mix, a row for each copy."""
+    return _mix(spark, at).items.select("mix_name", "doc_id", "copy_no", "source", "tokens")
+
+
+def p7_shares(spark: SparkSession, at: str) -> DataFrame:
+    """What each source was to give to each mix, and gave."""
+    return _mix(spark, at).shares
+
+
+def _levels(spark: SparkSession, at: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "level_label"))
+    ranker = fit_ranker(docs, labels, id_col="doc_id", text_col="text", grade_col="grade")
+    return reading_levels(docs, ranker, id_col="doc_id", text_col="text")
+
+
+def p8_level(spark: SparkSession, at: str) -> DataFrame:
+    """The reading level of every document."""
+    return _levels(spark, at).select("doc_id", F.round("level", 2).alias("level"))
+
+
+def p8_by_source(spark: SparkSession, at: str) -> DataFrame:
+    """How demanding the documents of each source are."""
+    docs = spark.read.parquet(f"{at}/documents.parquet").select("doc_id", F.lower(F.trim("source")).alias("source"))
+    levels = _levels(spark, at).join(docs, "doc_id")
+    return levels.groupBy("source").agg(
+        F.count("*").alias("n_documents"),
+        F.round(F.avg("level"), 2).alias("mean_level"),
+        F.round(F.expr("percentile_approx(level, 0.1)"), 2).alias("easiest_tenth"),
+        F.round(F.expr("percentile_approx(level, 0.9)"), 2).alias("hardest_tenth"),
+    )
+
+
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_sanitised": p2_sanitised, "p3_found": p3_found, "p3_by_source": p3_by_source, "p4_found": p4_found, "p4_consistent_text": p4_consistent_text, "p5_found": p5_found, "p6_found": p6_found, "p6_by_item": p6_by_item, "p6_clean_corpus": p6_clean_corpus, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_level": p8_level, "p8_by_source": p8_by_source}
