@@ -105,7 +105,7 @@ def csv_round_trip(spark: SparkSession, at: str) -> DataFrame:
     """Comments written as CSV and read by the typed CSV source."""
     rows = T.read_parquet(spark, at, "test").drop("src_pos", "created_at")
     path = f"{shared_folder(spark)}/tallyloom/{spark.sparkContext.applicationId}/csv-test"
-    rows.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).option("lineSep", "\n").csv(path)
+    sinks.save_csv(rows, path)
     back = T.read_comments(spark, path, labelled=False)
     return back.groupBy(F.trim("rule").alias("rule")).agg(F.count("*").alias("n_rows"), F.count("body").alias("n_bodies"), F.sum("row_id").alias("sum_row_id"))
 

@@ -28,6 +28,13 @@ def save_tokens(tokens: DataFrame, path: str) -> None:
     tokens.write.mode("overwrite").parquet(path)
 
 
+def save_csv(df: DataFrame, path: str) -> None:
+    """Texts as they are, outer blanks, quotes and line ends included, so that
+    read_csv gets them back."""
+    kept = {"header": True, "quoteAll": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(**kept).csv(path)
+
+
 def save_submission(scores: DataFrame, path: str) -> None:
     """row_id, rule_violation as one CSV with a header: a row per test row."""
     rows = scores.select(F.col("row_id").cast("long").alias("row_id"), F.col("rule_violation").cast("double").alias("rule_violation"))

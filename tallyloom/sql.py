@@ -1 +1,280 @@
-ORACLE = {}
+"""The same results in DuckDB's SQL, for the queries that SQL can express.
+
+DuckDB's expressions know no look-around and only ASCII classes: letters,
+digits and blanks are spelled out here.
+"""
+
+from __future__ import annotations
+
+from tallyloom.functions.patterns import DOMAINS
+from tallyloom.functions.text import NA_TOKENS
+from tallyloom.operators.prompts import COMMENT, HEADER, VIOLATION
+from tallyloom.schemas import DATA2_SCORES, DATA3_SCORES
+
+_BLANKS = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_S, _NOT_S = f"[{_BLANKS}]", f"[^{_BLANKS}]"
+_W, _NOT_W = r"[\pL\pN_]", r"[^\pL\pN_]"
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _replace(column: str, *steps: tuple[str, str, str]) -> str:
+    for pattern, replacement, flags in steps:
+        column = f"regexp_replace({column}, {_text(pattern)}, {_text(replacement)}, '{flags}')"
+    return column
+
+
+def _normalised(expression: str) -> str:
+    return f"SELECT src_pos, {expression} AS text FROM train"
+
+
+_STRIP = ((f"^{_S}+", "", "g"), (f"{_S}+$", "", "g"))
+_STRIPPED = _replace("body", *_STRIP)
+
+ORACLE: dict[str, str] = {
+    "norm_urls": _normalised(
+        _replace("body", (rf"(?:(?:https?://|ftp://|www\.){_NOT_S}+)|(?:{_W}+{_S}*\.{_S}*(?:{DOMAINS})(?:{_S}|$|{_NOT_W}))", "<URL>", "gi"))
+    ),
+    "norm_usernames": _normalised(
+        _replace("body", (rf"(^|{_NOT_W})/?u/[A-Za-z0-9_-]+", r"\1<USER>", "gi"), (rf"(^|{_NOT_W})@[A-Za-z0-9_]{{1,30}}\b", r"\1<USER>", "g"))
+    ),
+    "norm_emails": _normalised(_replace("body", (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "<EMAIL>", "gi"))),
+    "norm_subreddits": _normalised(_replace("body", (rf"(^|{_NOT_W})/?r/[A-Za-z0-9_-]+", r"\1<SUB>", "gi"))),
+    "norm_phones": _normalised(
+        _replace("body", (rf"(?:\+?1[-.{_BLANKS}]?)?\(?[0-9]{{3}}\)?[-.{_BLANKS}]?[0-9]{{3}}[-.{_BLANKS}]?[0-9]{{4}}|1-800-[A-Z0-9-]+", "<PHONE>", "gi"))
+    ),
+    "norm_money": _normalised(
+        _replace(
+            "body",
+            (rf"[$£€][0-9]+(?:[,.][0-9]+)*(?:{_S}*(?:million|billion|k|M|B))?|(?:[0-9]+|[Xx]{{2,}}){_S}*(?:dollars?|pounds?|euros?)", "<MONEY>", "gi"),
+        )
+    ),
+    "norm_ips": _normalised(_replace("body", (r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "", "g"))),
+    "norm_quotes": "SELECT src_pos, CASE WHEN s = '\"' THEN '' WHEN left(s, 1) = '\"' AND right(s, 1) = '\"' THEN substr(s, 2, length(s) - 2) ELSE s END AS text "
+    f"FROM (SELECT src_pos, {_STRIPPED} AS s FROM train)",
+    "reduce_whitespace": _normalised(_replace("body", (r"[ \t]+", " ", "g"))),
+    "strip_text": _normalised(_STRIPPED),
+    "sanitize": f"SELECT src_pos, s AS text FROM (SELECT src_pos, {_STRIPPED} AS s FROM train) WHERE s <> '' AND lower(s) NOT IN ('nan', 'none')",
+    "na_tokens": f"SELECT src_pos, body FROM train WHERE body IS NULL OR body IN ({', '.join(map(_text, NA_TOKENS))})",
+    "rule_labels": "SELECT substr(rule, 1, 50) || '...' AS label, 'Rule: ' || rule || chr(10) AS line, count(*) AS n_rows FROM train GROUP BY 1, 2",
+    "violation_labels": "SELECT trim(rule) AS rule, CASE rule_violation WHEN 1 THEN 'positives' WHEN 0 THEN 'negatives' END AS polarity, count(*) AS n_rows "
+    "FROM train GROUP BY 1, 2",
+    "attach_labels": "SELECT d.doc_id, d.source, l.grade FROM documents d JOIN level_label l ON l.doc_id = d.doc_id WHERE l.grade <> -1",
+    "fold_scores": "SELECT src_pos, CASE WHEN isnan(s) OR isnan(o) THEN NULL ELSE greatest(s, o) END AS severe_toxicity "
+    "FROM (SELECT src_pos, severe_toxicity AS s, obscene AS o FROM data2_positive)",
+    "csv_round_trip": "SELECT trim(rule) AS rule, count(*) AS n_rows, count(CASE WHEN body NOT IN ("
+    + ", ".join(map(_text, NA_TOKENS))
+    + ") THEN 1 END) AS n_bodies, sum(row_id)::bigint AS sum_row_id FROM test GROUP BY 1",
+}
+
+_CLOCK, _UTC = rf"\b[0-9]{{1,2}}:[0-9]{{1,2}},{_S}+", rf"{_S}+\(UTC\)"
+_MONTH_DAY, _DAY_MONTH = rf"[A-Za-z]+{_S}+[0-9]{{1,2}},{_S}+[0-9]{{4}}", rf"[0-9]{{1,2}}{_S}+[A-Za-z]+{_S}+[0-9]{{4}}"
+ORACLE["norm_timestamps"] = _normalised(
+    _replace(
+        "body",
+        *((x + _UTC, "", "g") for x in (_CLOCK + _MONTH_DAY, _CLOCK + _DAY_MONTH, rf"\b{_MONTH_DAY}", rf"\b{_DAY_MONTH}")),
+        # forms with (UTC) are gone by now
+        (rf"\b{_DAY_MONTH}($|{_NOT_W})", r"\1", "g"),
+        (_CLOCK + _MONTH_DAY, "", "g"),
+        (_CLOCK + _DAY_MONTH, "", "g"),
+        (rf"\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}{_S}+[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}[.0-9]*[+-][0-9]{{2}}:[0-9]{{2}}\b", "", "g"),
+    )
+)
+_LETTERS_TWICE = _replace("body", *((f"{c}{{3,}}", c * 2, "g") for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+ORACLE["reduce_characters"] = (
+    "SELECT src_pos, CASE WHEN s IS NULL THEN NULL ELSE array_to_string(list_transform(list_filter(range(1, len(c) + 1), "
+    f"lambda i: i = 1 OR c[i] <> c[i - 1] OR regexp_matches(c[i], '^[a-zA-Z{_BLANKS}]$')), lambda i: c[i]), '') END AS text "
+    f"FROM (SELECT src_pos, s, string_split(s, '') AS c FROM (SELECT src_pos, {_LETTERS_TWICE} AS s FROM train))"
+)
+
+_UNION = " UNION ALL ".join(
+    f"SELECT {n} AS dataset, '{side}s' AS polarity, src_pos, comment_text FROM data{n}_{side}" for n in (2, 3) for side in ("positive", "negative")
+)
+_ONCE = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset, polarity, comment_text ORDER BY src_pos) AS k FROM ({_UNION})) WHERE k = 1"
+_CLEAN = (
+    f"SELECT o.dataset, o.polarity, o.src_pos, o.comment_text FROM ({_ONCE}) o WHERE o.dataset = 3 OR NOT EXISTS "
+    f"(SELECT 1 FROM ({_ONCE}) t WHERE t.dataset = 3 AND t.comment_text IS NOT DISTINCT FROM o.comment_text)"
+)
+_SHUFFLED = "coalesce(md5('42:' || comment_text), '~')"
+_SPLIT = (
+    f"SELECT CASE WHEN row_number() OVER (PARTITION BY dataset, polarity ORDER BY {_SHUFFLED}, comment_text) <= "
+    f"floor(count(*) OVER (PARTITION BY dataset, polarity) * 0.7::double) THEN 'train' ELSE 'holdout' END AS split, dataset, polarity, src_pos, comment_text FROM ({_CLEAN})"
+)
+_SCORED = " UNION ALL ".join(
+    f"SELECT '{c}' AS rule_key, {n} AS dataset, src_pos, comment_text AS text FROM data{n}_positive WHERE {c} >= 0.33 AND NOT isnan({c})"
+    for n, scores in ((2, DATA2_SCORES), (3, DATA3_SCORES))
+    for c in scores
+)
+_ITEMS = (
+    f"SELECT rule_key || '/positives' AS pool_id, row_number() OVER (PARTITION BY rule_key ORDER BY dataset, src_pos) - 1 AS pos, text FROM ({_SCORED}) UNION ALL "
+    f"SELECT 'shared/negatives', row_number() OVER (ORDER BY dataset, src_pos) - 1, comment_text FROM ({_UNION}) WHERE polarity = 'negatives'"
+)
+
+
+def _examples(table: str, body: bool, collision: str = "last") -> str:
+    parts = [
+        f"SELECT rule AS spelling, trim(rule) AS rule, '{p}s' AS polarity, {n} AS src_no, src_pos, {p}_example_{n} AS text FROM {table} WHERE rule IS NOT NULL"
+        for p in ("positive", "negative")
+        for n in (1, 2)
+    ]
+    if body:
+        parts += [
+            f"SELECT rule, trim(rule), '{p}', 3, src_pos, body FROM {table} WHERE rule IS NOT NULL AND rule_violation = {v}"
+            for p, v in (("positives", 1), ("negatives", 0))
+        ]
+    rows = " UNION ALL ".join(parts)
+    if collision == "last":
+        seen = f"SELECT rule AS spelling, min(src_pos) AS seen FROM {table} WHERE rule IS NOT NULL GROUP BY 1"
+        last = f"SELECT spelling FROM (SELECT spelling, row_number() OVER (PARTITION BY trim(spelling) ORDER BY seen DESC) AS k FROM ({seen})) WHERE k = 1"
+        rows = f"SELECT * FROM ({rows}) WHERE spelling IN ({last})"
+    return rows
+
+
+def _grouped(table: str, body: bool, collision: str = "last") -> str:
+    first = (
+        "SELECT rule, polarity, src_no, src_pos, text FROM (SELECT *, row_number() OVER (PARTITION BY rule, polarity, text ORDER BY src_no, src_pos) AS k "
+        f"FROM ({_examples(table, body, collision)})) WHERE k = 1"
+    )
+    return f"SELECT rule, polarity, row_number() OVER (PARTITION BY rule, polarity ORDER BY src_no, src_pos) - 1 AS pos, text FROM ({first})"
+
+
+def _split_pools(pools: str, columns: str = "split, rule, polarity, text") -> str:
+    order = "coalesce(md5('42:' || rule || ':' || polarity || ':' || text), '~'), text"
+    place = f"row_number() OVER (PARTITION BY rule, polarity ORDER BY {order}) <= floor(count(*) OVER (PARTITION BY rule, polarity) * 0.7::double)"
+    return f"SELECT {columns} FROM (SELECT *, CASE WHEN {place} THEN 'train' ELSE 'holdout' END AS split FROM ({pools}))"
+
+
+def _score_pools(rows: str) -> str:
+    """rule, polarity, pos, text of the score rules over rows with the scores."""
+    scored = " UNION ALL ".join(
+        f"SELECT '{c}' AS rule_key, r.dataset, r.src_pos, r.comment_text AS text, r.split FROM ({rows}) r JOIN data{n}_positive d ON d.src_pos = r.src_pos "
+        f"WHERE r.dataset = {n} AND r.polarity = 'positives' AND d.{c} >= 0.33 AND NOT isnan(d.{c})"
+        for n, scores in ((2, DATA2_SCORES), (3, DATA3_SCORES))
+        for c in scores
+    )
+    return (
+        "SELECT s.split, d.rule, 'positives' AS polarity, row_number() OVER (PARTITION BY s.split, d.rule_key ORDER BY s.dataset, s.src_pos) - 1 AS pos, s.text "
+        f"FROM ({scored}) s JOIN rule_def d ON d.rule_key = s.rule_key UNION ALL "
+        "SELECT split, '*scores', 'negatives', row_number() OVER (PARTITION BY split ORDER BY dataset, src_pos) - 1, comment_text "
+        f"FROM ({rows}) WHERE polarity = 'negatives'"
+    )
+
+
+_TRAIN = _grouped("train", True)
+_PLAIN = _grouped("train", False)
+_WHOLE = _score_pools(f"SELECT *, 'all' AS split FROM ({_UNION})")
+_SOME_TEST = "(SELECT * FROM test WHERE src_pos % 2 = 0 OR rule NOT LIKE '%No %')"
+
+_DRAWS = (
+    "SELECT t.*, v.variant, CASE WHEN v.variant = 0 THEN 'positives' ELSE 'negatives' END AS polarity, row_number() OVER (PARTITION BY trim(t.rule), v.variant "
+    "ORDER BY t.src_pos) - 1 AS draw FROM test t, (SELECT unnest([0, 1])::int AS variant) v"
+)
+_POOL = _grouped("test", False)
+_SUPPORTED = (
+    f"WITH pool AS ({_POOL}), sizes AS (SELECT rule, polarity, count(*) AS n FROM pool GROUP BY 1, 2) "
+    "SELECT d.*, CASE d.polarity WHEN 'positives' THEN 1 ELSE 0 END AS support_label, p.pos AS support_pos, p.text AS support "
+    f"FROM ({_DRAWS}) d LEFT JOIN sizes s ON s.rule = trim(d.rule) AND s.polarity = d.polarity "
+    "LEFT JOIN pool p ON p.rule = s.rule AND p.polarity = s.polarity AND p.pos = d.draw % s.n"
+)
+_ANSWER = "CASE support_label WHEN 1 THEN 'Violation: Yes' ELSE 'Violation: No' END || chr(10)"
+_BEFORE = f"{_text(HEADER[:-1])} || chr(10) || 'Rule: ' || rule || chr(10) || '{COMMENT}' || support || chr(10)"
+_PROMPT = f"{_BEFORE} || {_ANSWER} || '{COMMENT}' || body || chr(10) || '{VIOLATION}'"
+
+ORACLE |= {
+    "toxicity_scan": f"SELECT dataset, polarity, count(*) AS n_rows, count(comment_text) AS n_texts FROM ({_UNION}) GROUP BY 1, 2",
+    "polarity_by_score": "SELECT CASE WHEN "
+    + " OR ".join(f"coalesce({c} > 0.33 AND NOT isnan({c}), false)" for c in DATA2_SCORES)
+    + " THEN 'positives' ELSE 'negatives' END AS polarity, count(*) AS n_rows FROM (SELECT * FROM data2_positive UNION ALL SELECT * FROM data2_negative) GROUP BY 1",
+    "dedup_keep_first": f"SELECT dataset, polarity, src_pos, comment_text FROM ({_ONCE})",
+    "cross_dedup_anti": _CLEAN,
+    "split_train_holdout": f"SELECT split, dataset, polarity, src_pos FROM ({_SPLIT})",
+    "half_split": "SELECT src_pos, CASE WHEN row_number() OVER (ORDER BY md5('42:' || src_pos), src_pos) <= count(*) OVER () // 2 THEN 0 ELSE 1 END AS worker FROM test",
+    "threshold_scores": _SCORED,
+    "rule_fanout": _ITEMS,
+    "rule_pool_refs": "SELECT d.rule_key, d.rule, p.polarity, p.pool_id, coalesce(n.n, 0) AS n_items FROM rule_def d, "
+    "LATERAL (SELECT 'positives' AS polarity, d.rule_key || '/positives' AS pool_id UNION ALL SELECT 'negatives', 'shared/negatives') p "
+    f"LEFT JOIN (SELECT pool_id, count(*) AS n FROM ({_ITEMS}) GROUP BY 1) n ON n.pool_id = p.pool_id "
+    f"WHERE d.rule_key IN ({', '.join(map(_text, dict.fromkeys((*DATA2_SCORES, *DATA3_SCORES))))})",
+    "group_by_rule": _TRAIN,
+    "group_by_rule_merged": _grouped("train", False, "merge"),
+    "grouped_split": _split_pools(_TRAIN),
+    "split_first_pools": _score_pools(_SPLIT),
+    "build_pools": f"WITH own AS ({_split_pools(_TRAIN)}), scores AS ({_score_pools(_SPLIT)}) SELECT split, rule, polarity, count(*) AS n_items FROM "
+    "(SELECT split, rule, polarity FROM own WHERE rule NOT IN (SELECT rule FROM scores) UNION ALL SELECT split, rule, polarity FROM scores) GROUP BY 1, 2, 3",
+    "pools_round_trip": f"SELECT rule, polarity, count(*) AS n_items FROM ({_split_pools(_PLAIN)}) WHERE split = 'holdout' GROUP BY 1, 2",
+    "group_first_pools": _split_pools(
+        f"SELECT rule, polarity, text FROM ({_WHOLE}) WHERE polarity = 'positives' UNION ALL "
+        f"SELECT DISTINCT rule, polarity, text FROM ({_WHOLE}) WHERE polarity = 'negatives' AND text <> ''"
+    ),
+    "combine_rules": f"WITH two AS ({_grouped(_SOME_TEST, False)}) SELECT * FROM ({_PLAIN}) WHERE rule NOT IN (SELECT rule FROM two) UNION ALL SELECT * FROM two",
+    "pool_stats": f"SELECT rule, count(*) FILTER (polarity = 'positives') AS n_positives, count(*) FILTER (polarity = 'negatives') AS n_negatives, "
+    f"count(DISTINCT CASE polarity WHEN 'negatives' THEN text END) AS n_unique_negatives FROM ({_TRAIN}) GROUP BY ROLLUP (rule)",
+    "shared_negatives": f"WITH p AS ({_PLAIN}), e AS (SELECT text, count(DISTINCT rule) AS n FROM p WHERE polarity = 'negatives' GROUP BY text), "
+    "r AS (SELECT count(DISTINCT rule) AS n FROM p) SELECT (SELECT n FROM r) <= 1 OR count(*) = 0 OR min(n) = (SELECT n FROM r) AS fully_shared, "
+    "(SELECT n FROM r) <= 1 OR max(n) = (SELECT n FROM r) AS partially_shared, count(*) AS total_unique, (SELECT n FROM r) AS n_rules FROM e",
+    "shared_negatives_of_scores": f"SELECT true AS fully_shared, true AS partially_shared, (SELECT count(*) FROM (SELECT DISTINCT comment_text FROM ({_UNION}) "
+    "WHERE polarity = 'negatives')) AS total_unique, (SELECT count(*) FROM rule_def) AS n_rules",
+    "unique_negatives": f"SELECT rule, count(DISTINCT coalesce(text, '')) AS unique_count FROM ({_PLAIN}) WHERE polarity = 'negatives' GROUP BY 1",
+    "clean_negatives": f"SELECT DISTINCT text FROM ({_PLAIN}) WHERE polarity = 'negatives' AND text <> ''",
+    "expand_rows": "SELECT src_pos, row_id, variant, CASE variant WHEN 0 THEN 'positives' ELSE 'negatives' END AS polarity "
+    "FROM test, (SELECT unnest([0, 1])::int AS variant)",
+    "support_sampler": f"SELECT src_pos, row_id, variant, support_label, support_pos, support FROM ({_SUPPORTED})",
+    "prompt_build": f"SELECT row_id, src_pos, variant, support_label, {_PROMPT} AS prompt FROM ({_SUPPORTED})",
+    "violation_positions": f"SELECT src_pos, variant, strlen({_BEFORE} || '{VIOLATION}') - 1 AS first_end, strlen({_PROMPT}) - 1 AS second_end FROM ({_SUPPORTED})",
+}
+
+_LOGITS = (
+    "WITH e AS (SELECT vec_id, label, unnest(embedding)::double AS x, unnest(range(len(embedding))) AS i FROM embeddings), "
+    "h AS (SELECT e.label AS class_id, e.i, e.x FROM e WHERE vec_id IN (SELECT min(vec_id) FROM embeddings WHERE label < 2 GROUP BY label)), "
+    "flat AS (SELECT e.vec_id, h.class_id, sum(e.x * h.x) AS logit FROM e JOIN h ON h.i = e.i GROUP BY 1, 2), "
+    "logits AS (SELECT vec_id // 2 AS row_id, (vec_id % 2)::int AS variant, sum(logit) FILTER (class_id = 0) AS logit_no, sum(logit) FILTER (class_id = 1) AS logit_yes "
+    "FROM flat GROUP BY vec_id), "
+    "scores AS (SELECT row_id, avg(logit_yes) - avg(logit_no) AS margin FROM logits GROUP BY row_id), "
+    "truth AS (SELECT vec_id // 2 AS row_id, (label > 4)::int AS label FROM embeddings WHERE vec_id % 2 = 0), "
+    "known AS (SELECT t.row_id, t.label, round(s.margin, 2) + 0.0 AS score FROM truth t LEFT JOIN scores s ON s.row_id = t.row_id AND s.row_id % 7 <> 0), "
+    "loss AS (SELECT *, greatest(logit_no, logit_yes) + ln(1 + exp(-abs(logit_yes - logit_no))) - 0.9 * CASE variant WHEN 1 THEN logit_yes ELSE logit_no END "
+    "- 0.05 * (logit_no + logit_yes) AS loss FROM logits) "
+)
+
+ORACLE |= {
+    "embedding_gather": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS new_id, len(embedding) AS dims, "
+    "round((SELECT sum(x::double) FROM unnest(embedding) AS u(x)), 5) AS total FROM embeddings WHERE label < 5",
+    "mean_embedding": "SELECT i AS dim, round(avg(x), 6) AS mean FROM (SELECT unnest(embedding)::double AS x, unnest(range(len(embedding)))::int AS i FROM embeddings) GROUP BY i",
+    "linear_head": _LOGITS + "SELECT vec_id, class_id, round(logit, 5) AS logit FROM flat",
+    "logit_bags": _LOGITS + "SELECT row_id, count(*) AS n_variants, round(max_by(logit_yes, variant), 5) AS last_yes FROM logits GROUP BY row_id",
+    "margin_by_row": _LOGITS + "SELECT row_id, round(margin, 5) AS rule_violation FROM scores",
+    "best_margin_by_row": _LOGITS + "SELECT row_id, round(max(logit_yes - logit_no), 5) AS rule_violation FROM logits GROUP BY row_id",
+    "submission": _LOGITS + "SELECT row_id, round(margin, 5) AS rule_violation FROM scores",
+    "merge_predictions": _LOGITS + ", two AS (SELECT * FROM logits WHERE row_id % 2 = 0 AND variant = 0) SELECT row_id, variant, round(logit_yes, 5) AS logit_yes FROM "
+    "(SELECT * FROM logits WHERE row_id % 3 <> 0 AND row_id NOT IN (SELECT row_id FROM two) UNION ALL SELECT * FROM two)",
+    "eval_join": _LOGITS + "SELECT row_id, label, score FROM known",
+    "roc_auc": _LOGITS + ", ranked AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM known WHERE score IS NOT NULL) "
+    "SELECT round(((sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / "
+    "(count(*) FILTER (label = 1) * count(*) FILTER (label = 0)))::double, 8) AS auc FROM ranked",
+    "ce_loss": _LOGITS + "SELECT row_id, variant, round(loss, 5) AS loss FROM loss",
+    "epoch_loss": _LOGITS + "SELECT row_id % 10 AS epoch, round(avg(loss) FILTER (variant = 0), 5) AS train_loss, round(avg(loss) FILTER (variant = 1), 5) AS val_loss "
+    "FROM loss GROUP BY 1",
+}
+
+_BYTES = "SELECT src_pos, unnest(range(1, strlen(s) + 1)) AS i, hex(encode(s)) AS h FROM (SELECT src_pos, {strip} AS s FROM {table}) WHERE s <> '' AND lower(s) NOT IN ('nan', 'none')"
+
+
+def _bytes(table: str, column: str) -> str:
+    rows = _BYTES.format(strip=_replace(column, *_STRIP), table=table)
+    return f"SELECT src_pos, i, ('0x' || substr(h, 2 * i - 1, 2))::int AS id FROM ({rows})"
+
+
+_PROMPT_BYTES = f"SELECT src_pos, variant, unnest(range(1, strlen(p) + 1)) AS i, hex(encode(p)) AS h FROM (SELECT src_pos, variant, {_PROMPT} AS p FROM ({_SUPPORTED})) WHERE p IS NOT NULL"
+
+ORACLE |= {
+    "token_vocab": f"SELECT DISTINCT id AS old_id FROM ({_bytes('train', 'body')})",
+    "vocab_map": f"SELECT old_id, row_number() OVER (ORDER BY old_id) - 1 AS new_id FROM (SELECT DISTINCT id AS old_id FROM ({_bytes('train', 'body')}))",
+    "vocab_remap": f"WITH v AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM (SELECT DISTINCT id FROM ({_bytes('data2_positive', 'comment_text')}))) "
+    f"SELECT b.src_pos, count(*) AS n_ids, sum(coalesce(v.new_id, (SELECT count(*) FROM v)) * b.i)::bigint AS weighed FROM ({_bytes('train', 'body')}) b "
+    "LEFT JOIN v ON v.id = b.id GROUP BY b.src_pos",
+    "prompt_tokens": f"SELECT src_pos, variant, count(*) AS n_ids, sum(('0x' || substr(h, 2 * i - 1, 2))::bigint * i)::bigint AS weighed FROM ({_PROMPT_BYTES}) GROUP BY 1, 2",
+    "tokenize_pools": f"SELECT pool_id, row_number() OVER (PARTITION BY pool_id ORDER BY pos) - 1 AS pos, strlen(s) AS n_ids "
+    f"FROM (SELECT pool_id, pos, {_replace('text', *_STRIP)} AS s FROM ({_ITEMS})) WHERE s <> '' AND lower(s) NOT IN ('nan', 'none')",
+}
