@@ -36,7 +36,7 @@ STREETS = "street st avenue ave road rd lane ln drive dr court ct close place sq
 STREETS_BEFORE = "rue avenue boulevard allée chemin impasse quai place calle avenida plaza paseo via viale piazza"
 PARTS = "flat apt apartment unit suite room floor"
 # Short words that stand before a number without being part of it.
-SHORT_WORDS = "a i am an as at be by do go he id if in is it me my no nr of on or so to up us we".split()
+SHORT_WORDS = "am an as at be by do go he id if in is it me my no nr of on or so to up us we".split()
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 #: Bits of disclosure from which a candidate is a detail.
@@ -52,7 +52,7 @@ PRIOR_WEIGHT = 2.0
 _DROP = set(ZERO_WIDTH)
 _GAP = r"(?:[ \t\r\n]{0,3}(?:\.\.\.|[-–—/*()]|\.(?=[\w]))?[ \t\r\n*]{0,3})"
 _NUMBER = re.compile(
-    rf"(?<![\w@#$€£.,:/+-])(?:[+(]{{0,2}}(?:(?!(?i:{'|'.join(SHORT_WORDS)})\b)[A-Za-z]{{1,2}}{_GAP})?\d+(?:{_GAP}\(?\d+){{0,7}})(?:(?<=\d\d){_GAP}?[A-Za-z](?![\w]))?(?![\w@])", re.UNICODE
+    rf"(?<![\w@#$€£.,:/+-])(?:[+(]{{0,2}}(?:(?!(?i:{'|'.join(SHORT_WORDS)})\b)[A-Za-z]{{2}}{_GAP}|[A-Za-z]-?)?\d+(?:{_GAP}\(?\d+){{0,7}})(?:(?<=\d\d)(?:-?[A-Za-z]|{_GAP}[B-HJ-Z])(?![\w]))?(?![\w@])", re.UNICODE
 )
 _EXTENSION = re.compile(r"^\s*(?:ext|x)\.?\s*\d+", re.IGNORECASE)
 _SENTENCE_END = re.compile(r"[.!?](?:\s|$)|\n")
@@ -171,7 +171,9 @@ def candidates(text: str, given: set[str], family: set[str]) -> list[tuple[str,
                 n += 1
             if n < len(tokens) and blank(plainly[end : tokens[n][0]]):
                 last = _double(plainly, tokens, n)
-                add("name", a, tokens[last][1], key, [f"family:{tokens[x][2].lower()}" for x in range(n, last + 1)])
+                # "Rose that" is no evidence, for its case
+                label = "" if word[0].isupper() and tokens[n][2][0].islower() else key
+                add("name", a, tokens[last][1], label, [f"family:{tokens[x][2].lower()}" for x in range(n, last + 1)])
             # family name before, with a comma
             if k and re.fullmatch(r",[ \t\r\n*]{1,4}", plainly[tokens[k - 1][1] : a]):
                 first = k - 1
