@@ -119,6 +119,15 @@ def negatives_report(pools: DataFrame, rules: DataFrame | None = None) -> DataFr
     return both.select(full.alias("fully_shared"), part.alias("partially_shared"), "total_unique", "n_rules")
 
 
+def own_negatives(refs: DataFrame) -> DataFrame:
+    """``refs`` as they are; the query fails if two rules refer to one pool of
+    negatives. Sharing is harmless here, since no pool is shuffled in place;
+    this is for those who want each rule to have its own."""
+    users = refs.where("polarity = 'negatives'").groupBy("pool_id").agg(F.countDistinct("rule").alias("__users"))
+    checked = F.when(F.coalesce("__users", F.lit(0)) <= 1, F.col("pool_id")).otherwise(F.raise_error(F.lit("negatives are shared between rules")))
+    return refs.join(users, "pool_id", "left").withColumn("pool_id", checked).select(*refs.columns)
+
+
 def unique_negatives(pools: DataFrame) -> DataFrame:
     """rule, unique_count of its negatives."""
     return pools.where("polarity = 'negatives'").groupBy("rule").agg(F.countDistinct(F.coalesce("text", F.lit(""))).alias("unique_count"))

@@ -125,6 +125,14 @@ def test_negatives_report(spark, data, fully, partially, unique):
     assert (got.fully_shared, got.partially_shared, got.total_unique) == (fully, partially, unique)
 
 
+def test_own_negatives(spark):
+    refs = [("a", "negatives", "x"), ("b", "negatives", "y"), ("a", "positives", "z")]
+    frame = lambda data: spark.createDataFrame(data, "rule string, polarity string, pool_id string")
+    assert rows(P.own_negatives(frame(refs))) == sorted(refs)
+    with pytest.raises(Exception, match="shared"):
+        P.own_negatives(frame([*refs, ("c", "negatives", "x")])).collect()
+
+
 def test_split_pools_keeps_sides_apart(spark):
     data = [("a", "positives", f"p{k}") for k in range(10)] + [(r, "negatives", f"n{k}") for r in "ab" for k in range(10)] + [(r, "negatives", x) for r in "ab" for x in ("", None)]
     got = P.split_pools(pool(spark, *data))
