@@ -40,11 +40,13 @@ COMMON = 1 / 1000
 DEEPEST = 4
 #: Rows up to which a group is compared row by row; rows of a common word
 #: beyond which it is split by the next word.
-SMALL_GROUP, SPLIT_GROUP = 400, 50_000
+SMALL_GROUP, SPLIT_GROUP = 400, 250_000
 #: The prefix is lengthened if the candidates cost more than the combinations
 #: of words that the next length makes; one of these costs as much as so many
 #: candidates.
 COMBINATION = 4
+#: Combinations that are made at a time; rows that an estimate looks at.
+BLOCK_COMBINATIONS, ESTIMATE_ROWS = 1_500_000, 2_000
 #: Words in a row's part of the prefix beyond which it is compared by bitmap.
 LONG_TAIL = 30
 
@@ -205,11 +207,62 @@ def _prefixes(permille: int, frequent: np.ndarray):
     return rows
 
 
-def _combinations(n: np.ndarray, k: int) -> float:
+def _choose(n: np.ndarray, k: int) -> np.ndarray:
     total = np.ones(len(n))
     for x in range(k):
         total *= np.maximum(n - x, 0) / (x + 1)
-    return float(total.sum())
+    return total
+
+
+def _meetings(rows: np.ndarray, width: np.ndarray, tail_ends: np.ndarray, tail: np.ndarray, more: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Owners of all combinations of ``more`` words of the rows' tails, sorted
+    by combination, and the ends of the runs of equal ones. Combinations are
+    made for some first words at a time, so that memory stays bounded."""
+    width = np.minimum(width, np.diff(tail_ends)[rows])
+    firsts = np.maximum(width - more + 1, 0)
+    entry = np.repeat(np.arange(len(rows)), firsts)
+    at = np.arange(len(entry)) - np.repeat(np.cumsum(firsts) - firsts, firsts)
+    rest = width[entry] - at - 1
+    at += tail_ends[rows[entry]]
+    by = np.argsort(tail[at], kind="stable")
+    entry, at, rest = entry[by], at[by], rest[by]
+    word = tail[at].astype(np.int64)
+    cost = np.cumsum(_choose(rest, more - 1))
+    begin = 0
+    while begin < len(word):
+        stop = int(np.searchsorted(cost, (cost[begin - 1] if begin else 0) + BLOCK_COMBINATIONS, "right"))
+        stop = max(stop, begin + 1)
+        # whole words only: all combinations that begin with a word meet
+        stop = int(np.searchsorted(word, word[stop - 1], "right"))
+        block = slice(begin, stop)
+        begin = stop
+        top = int(rest[block].max())
+        inside = np.arange(top) < rest[block][:, None]
+        grid = np.zeros(inside.shape, np.int64)
+        grid[inside] = _slices(tail, at[block] + 1, at[block] + 1 + rest[block])[1]
+        signs, owners = [], []
+        for columns in combinations(range(top), more - 1):
+            own = np.flatnonzero(inside[:, columns[-1]]) if columns else np.arange(stop - block.start)
+            sign = word[block][own]
+            for x in columns:
+                sign = mix(sign.astype(np.uint64) * np.uint64(1 << 21) + grid[own, x].astype(np.uint64)).view(np.int64) if more > 3 else sign << 21 | grid[own, x]
+            signs.append(sign)
+            owners.append(entry[block][own])
+        sign, owner = np.concatenate(signs), rows[np.concatenate(owners)]
+        order = np.argsort(sign)
+        sign = sign[order]
+        yield owner[order], np.flatnonzero(np.concatenate([sign[1:] != sign[:-1], [True]])) + 1
+
+
+def _estimate(rows: np.ndarray, width: np.ndarray, tail_ends: np.ndarray, tail: np.ndarray, more: int) -> float:
+    """Number of candidates that combinations of ``more`` words would make, from
+    a sample of the rows. It decides about the cost only, not the result."""
+    some = np.unique(np.linspace(0, len(rows) - 1, ESTIMATE_ROWS).astype(np.int64))
+    total = 0.0
+    for _, ends in _meetings(rows[some], width[some], tail_ends, tail, more):
+        run = np.diff(ends, prepend=0)
+        total += float((run * (run - 1) // 2).sum())
+    return total * (len(rows) / len(some)) ** 2
 
 
 def _by_further_words(n, room, depth, bits, tail_ends, tail, permille) -> tuple[np.ndarray, np.ndarray]:
@@ -227,6 +280,8 @@ def _by_further_words(n, room, depth, bits, tail_ends, tail, permille) -> tuple[
         i, j = np.minimum(i, j), np.maximum(i, j)
         ok = (i != j) & sj.may_match(i, j, n, bits, permille)
         found.append(np.unique(i[ok] * size + j[ok]))
+        if len(found) > 64:  # pairs recur; what is held stays small
+            found[:] = [np.unique(np.concatenate(found))]
 
     few = np.flatnonzero(alone)
     start = np.searchsorted(n, sj.need(n[few], permille), "left")
@@ -235,36 +290,15 @@ def _by_further_words(n, room, depth, bits, tail_ends, tail, permille) -> tuple[
         keep(few[k], j)
 
     rest = np.flatnonzero(~alone)
-    for more in range(1, DEEPEST - depth + 1):
+    most = DEEPEST - depth
+    for more in range(1, most + 1) if len(rest) else ():
         width = np.minimum(lengths[rest], room[rest] + more)
-        top = int(width.max(initial=0))
-        grid = np.full((len(rest), top), -1, np.int64)
-        inside = np.arange(top) < width[:, None]
-        grid[inside] = _slices(tail, tail_ends[rest], tail_ends[rest] + width)[1]
-        signs, owners = [], []
-        for columns in combinations(range(top), more):
-            own = np.flatnonzero(inside[:, columns[-1]])
-            if not len(own):
-                continue
-            sign = grid[own, columns[0]]
-            for x in columns[1:]:
-                sign = (sign << 20 | grid[own, x]) if more < 3 else mix(sign.astype(np.uint64) * np.uint64(1 << 20) + grid[own, x].astype(np.uint64)).view(np.int64)
-            signs.append(sign)
-            owners.append(own)
-        if not signs:
-            break
-        sign, owner = np.concatenate(signs), rest[np.concatenate(owners)]
-        order = np.argsort(sign)
-        sign, owner = sign[order], owner[order]
-        edge = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1], [True]]))
-        run = np.diff(edge)
-        if more < DEEPEST - depth:
-            wider = np.minimum(lengths[rest], room[rest] + more + 1)
-            if (run * (run - 1) // 2).sum() > COMBINATION * _combinations(wider, more + 1):
-                continue
-        at = np.arange(len(sign))
-        for k, j in sj.ranges(at + 1, np.repeat(edge[1:], run)):
-            keep(owner[k], owner[j])
+        if more < most and _estimate(rest, width, tail_ends, tail, more) > COMBINATION * _choose(width + 1, more + 1).sum():
+            continue
+        for owner, ends in _meetings(rest, width, tail_ends, tail, more):
+            last = np.repeat(ends, np.diff(ends, prepend=0))
+            for k, j in sj.ranges(np.arange(len(owner)) + 1, last):
+                keep(owner[k], owner[j])
         break
     each = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
     return each // size, each % size

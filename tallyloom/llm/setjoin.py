@@ -49,13 +49,14 @@ def may_match(i: np.ndarray, j: np.ndarray, n: np.ndarray, bits: np.ndarray, per
     at = np.flatnonzero(ok)
     room = (a + b - 2 * need(larger, permille))[at]
     apart = np.zeros(len(at), np.int64)
+    i, j = i[at], j[at]
     for w in range(bits.shape[1]):
-        apart += np.bitwise_count(bits[i[at], w] ^ bits[j[at], w])
+        apart += np.bitwise_count(bits[i, w] ^ bits[j, w])
     ok[at[apart > room]] = False
     return ok
 
 
-def ranges(start: np.ndarray, stop: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def ranges(start: np.ndarray, stop: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(k, every number of start[k]..stop[k]), in pieces of about ``most``."""
     count = np.maximum(stop - start, 0)
     total = np.concatenate([[0], np.cumsum(count)])
