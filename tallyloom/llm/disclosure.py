@@ -73,7 +73,7 @@ _ADDRESS_BEFORE = re.compile(
     rf"(?<![\w$€£#.,/-])(?:(?i:{_PART}),?{_S})?\d{{1,4}}(?:{_S}(?i:bis|ter|quater))?,?{_S}(?P<kind>(?i:{'|'.join(STREETS_BEFORE.split())})){_S}(?P<name>(?:(?i:de|du|des|la|le|les|del|los|las|di|della)\s+|(?i:de\s+l['’])\s*)*[^\W\d_]+(?:[ \t][A-Z][^\W\d_]+)?){_TOWN}"
 )
 _ADDRESS_AFTER = re.compile(
-    rf"(?<![\w-])(?P<name>[^\W\d_]+(?:-[^\W\d_]+)*)(?P<kind>{_S}(?i:str)(?!\w)\.?|(?i:stra(?:ß|ss)e|gasse|allee|platz)){_S}\d{{1,4}}[a-z]?,{_S}\d{{4,5}}(?:{_S}[A-Z][\w’'-]*)?(?:[ \t][A-Z][\w’'-]*)?"
+    rf"(?<![\w-])(?P<name>[^\W\d_]+(?:-[^\W\d_]+)*)(?P<kind>{_S}(?i:str)(?!\w)\.?|(?i:stra(?:ß|ss)e|gasse|allee|platz)){_S}\d{{1,4}}[a-z]?,?{_S}\d{{4,5}}(?:{_S}[A-Z][\w’'-]*)?(?:[ \t][A-Z][\w’'-]*)?"
 )
 
 

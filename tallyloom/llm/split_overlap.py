@@ -31,6 +31,9 @@ WINDOW, CUT_EVERY, LONGEST = 2, 3, 64
 LEAST_SHARED = 0.2
 #: As in near_copies: a digest is common if it stands in this share of records.
 COMMON = 1 / 1000
+#: Records of a digest beyond which they are spread over several keys: each of
+#: the other side takes one of them, each held-out one all.
+SPREAD = 50_000
 
 
 @dataclass(frozen=True)
@@ -127,10 +130,11 @@ def _encoder(min_words: int):
     return encode
 
 
-def _keys(common: np.ndarray):
-    """common: digests in the order of their frequency."""
+def _keys(common: np.ndarray, counts: np.ndarray):
+    """common: digests in the order of their frequency, with it."""
     order = np.argsort(common)
     ordered = common[order]
+    shares = -(-counts // SPREAD)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +156,14 @@ def _keys(common: np.ndarray):
             before = np.cumsum(length) - length
             before -= before[np.searchsorted(owner, np.arange(len(n)))[owner]] if len(owner) else 0
             own = n[owner] - before >= LEAST_SHARED * n[owner]
-            owner, pieces = owner[own], pieces[own]
+            owner, pieces, rank = owner[own], pieces[own], rank[by][own]
+            times = np.where(rank > 0, shares[np.maximum(rank - 1, 0)], 1) if len(shares) else np.ones(len(pieces), np.int64)
+            every = np.where(held[owner], times, 1)
+            first = np.repeat(np.cumsum(every) - every, every)
+            share = np.where(np.repeat(held[owner], every), np.arange(int(every.sum())) - first, np.repeat(uid[owner] % times, every))
+            owner, pieces = np.repeat(owner, every), np.repeat(pieces, every)
+            spread = mix(pieces.view(np.uint64) + share.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            pieces = np.where(share > 0, spread, pieces)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(pieces), pa.array(uid[owner]), pa.array(held[owner]), pa.array(n[owner].astype(np.int32)), sj.fixed_binary(bits[owner])],
                 ["key", "id", "held", "n", "bits"],
@@ -206,7 +217,7 @@ def split_overlap(held: DataFrame, other: DataFrame, *, threshold: float = 0.7,
     common = counts.where(F.col("count") >= max(2.0, COMMON * records.count())).collect()
     common.sort(key=lambda x: (x["count"], x.piece))
     found = (
-        records.mapInArrow(_keys(np.asarray([x.piece for x in common], np.int64)), "key long, id long, held boolean, n int, bits binary")
+        records.mapInArrow(_keys(*(np.asarray([x[k] for x in common], np.int64) for k in ("piece", "count"))), "key long, id long, held boolean, n int, bits binary")
         .repartition(shuffle_width(spark), "key")
         .sortWithinPartitions("key", "held", "n")
         .mapInArrow(_candidates(permille), "a long, b long")

@@ -129,8 +129,11 @@ def overlaps(spark, held, other):
     return sorted((r.held_id, r.other_id, r.field) for r in got.collect())
 
 
-def test_overlaps_equal_brute_force(spark, sf):
-    """On the whole small tables every overlap is found."""
+@pytest.mark.parametrize("spread", [so.SPREAD, 3])
+def test_overlaps_equal_brute_force(spark, sf, monkeypatch, spread):
+    """On the whole small tables every overlap is found, also where digests
+    are spread over several keys."""
+    monkeypatch.setattr(so, "SPREAD", spread)
     import pandas as pd
 
     root = sf.replace("sf0.001", "sf0.01")
