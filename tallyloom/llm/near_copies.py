@@ -382,7 +382,7 @@ def near_copies(
     key = ["grp", "one", "two"]
     classes = materialise(
         coded.groupBy(*key)
-        .agg(F.min("id").alias("class_id"), F.countDistinct("id").alias("copies"), F.first("rare").alias("rare"), F.first("common").alias("common"))
+        .agg(F.min("id").alias("class_id"), F.count("*").alias("copies"), F.first("rare").alias("rare"), F.first("common").alias("common"))
         .withColumn("uid", F.monotonically_increasing_id()),
         "classes",
     )
