@@ -1,6 +1,8 @@
 """Patterns of the text normalisers, in a spelling that Java and Python share.
 
 Word characters, blanks and case are Unicode's: Java gets that by flags.
+A word boundary next to a word character is written as a look-around, which
+costs Java less.
 """
 
 from __future__ import annotations
@@ -18,15 +20,15 @@ class Step(NamedTuple):
 DOMAINS = "com|org|net|edu|gov|co\\.uk|io|ly|me|tv|info|biz|us|ca"
 SPECIAL = "[!@#$%^&*()_+\\-=\\[\\]{}|;':\",.<>?~`]"
 SPECIAL_OR_ALNUM = "[a-zA-Z0-9!@#$%^&*()_+\\-=\\[\\]{}|;':\",.<>?~`]"
-CLOCK = r"\b[0-9]{1,2}:[0-9]{1,2},\s+"
+CLOCK = r"(?<!\w)[0-9]{1,2}:[0-9]{1,2},\s+"
 MONTH_DAY = r"[A-Za-z]+\s+[0-9]{1,2},\s+[0-9]{4}"
 DAY_MONTH = r"[0-9]{1,2}\s+[A-Za-z]+\s+[0-9]{4}"
 UTC = r"\s+\(UTC\)"
 
 URL = Step(rf"(?:(?:https?://|ftp://|www\.)[^\s]+)|(?:(?<!\w)\w++\s*\.\s*(?:{DOMAINS})(?:\s|$|[^\w]))", "<URL>", True)
 MENTION = Step(r"(?<!\w)/?u/[A-Za-z0-9_-]+", "<USER>", True)
-AT_MENTION = Step(r"(?<!\w)@[A-Za-z0-9_]{1,30}\b", "<USER>")
-EMAIL = Step(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "<EMAIL>", True)
+AT_MENTION = Step(r"(?<!\w)@[A-Za-z0-9_]{1,30}(?!\w)", "<USER>")
+EMAIL = Step(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?!\w)", "<EMAIL>", True)
 SUBREDDIT = Step(r"(?<!\w)/?r/[A-Za-z0-9_-]+", "<SUB>", True)
 PHONE = Step(r"(?:\+?1[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}|1-800-[A-Z0-9-]+", "<PHONE>", True)
 MONEY = Step(
@@ -38,23 +40,23 @@ RANDOM = Step(
     "<RANDOM>",
     True,
 )
-IP_ADDRESS = Step(r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "")
+IP_ADDRESS = Step(r"(?<!\w)(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w)", "")
 TIMESTAMPS = (
     Step(CLOCK + MONTH_DAY + UTC, ""),
     Step(CLOCK + DAY_MONTH + UTC, ""),
-    Step(r"\b" + MONTH_DAY + UTC, ""),
-    Step(r"\b" + DAY_MONTH + UTC, ""),
-    Step(r"\b" + DAY_MONTH + rf"(?!{UTC}|\w)", ""),
+    Step(r"(?<!\w)" + MONTH_DAY + UTC, ""),
+    Step(r"(?<!\w)" + DAY_MONTH + UTC, ""),
+    Step(r"(?<!\w)" + DAY_MONTH + rf"(?!{UTC}|\w)", ""),
     Step(CLOCK + MONTH_DAY + rf"(?!{UTC})", ""),
     Step(CLOCK + DAY_MONTH + rf"(?!{UTC})", ""),
-    Step(r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\s+[0-9]{2}:[0-9]{2}:[0-9]{2}[.0-9]*[+-][0-9]{2}:[0-9]{2}\b", ""),
+    Step(r"(?<!\w)[0-9]{4}-[0-9]{2}-[0-9]{2}\s+[0-9]{2}:[0-9]{2}:[0-9]{2}[.0-9]*[+-][0-9]{2}:[0-9]{2}(?!\w)", ""),
 )
 OUTER_BLANKS = Step(r"\A[\s\x1c-\x1f]+|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++\Z", "")
 OUTER_QUOTES = Step(r"\A(?:\"\Z|\"([\s\S]*)\"\Z)", "$1")
 LETTERS = Step(r"([a-zA-Z])\1{2,}", "$1$1")
 NON_LETTERS = Step(r"([^a-zA-Z\s])\1+", "$1")
 # Possessive, so that thousands of repeats don't exhaust the stack.
-WORDS = Step(r"\b(\w+)(?:\s+\1\b)++", "$1", True)
+WORDS = Step(r"(?<!\w)(\w+)(?:\s+\1(?!\w))++", "$1", True)
 BLANKS = Step(r"[ \t]+", " ")
 
 # Fixed values of the incremental pass over text that was normalised before.

@@ -58,6 +58,7 @@ def score_comments(test: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFram
     """row_id, rule_violation: texts are normalised, supports drawn from the
     pools (by default the examples of the rows themselves), prompts scored,
     and the variants of a row put together."""
-    clean = normalize_text_columns(test)
+    # every rank below reads the texts again: they are normalised once
+    clean = materialise(normalize_text_columns(test), "normalised")
     pools = group_by_rule(clean) if pools is None else pools
     return aggregate_predictions(score_prompts(inference_prompts(clean, pools, seed=seed), scorer))
