@@ -46,7 +46,7 @@ SMALL_GROUP, SPLIT_GROUP = 400, 250_000
 #: candidates.
 COMBINATION = 4
 #: Combinations that are made at a time; rows that an estimate looks at.
-BLOCK_COMBINATIONS, ESTIMATE_ROWS = 1_500_000, 2_000
+BLOCK_COMBINATIONS, ESTIMATE_ROWS = 1_000_000, 2_000
 #: Words in a row's part of the prefix beyond which it is compared by bitmap.
 LONG_TAIL = 30
 

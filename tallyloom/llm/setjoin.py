@@ -56,7 +56,7 @@ def may_match(i: np.ndarray, j: np.ndarray, n: np.ndarray, bits: np.ndarray, per
     return ok
 
 
-def ranges(start: np.ndarray, stop: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def ranges(start: np.ndarray, stop: np.ndarray, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(k, every number of start[k]..stop[k]), in pieces of about ``most``."""
     count = np.maximum(stop - start, 0)
     total = np.concatenate([[0], np.cumsum(count)])
