@@ -4,6 +4,7 @@ From documents that people have graded, pairs of different grade are made; a
 linear model of syntax and vocabulary features learns which of the two is the
 more demanding. Its scores become grades by isotonic regression: the mean
 grade at a score, made to rise with the score. All documents are then scored.
+Every feature is of the whole text.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ MOST_LABELS, PAIRS_EACH = 20_000, 24
 #: Grades that a document may lie off the fitted ones before it is left out of
 #: the second fit.
 FAR_OFF = 3.0
+#: Words of the stretches in which different words are counted: their number
+#: grows with the length of a text, so that texts are compared by equal ones.
+STRETCH = 400
 # Words that open a subordinate clause.
 SUBORDINATE = (
     "although because since unless until whereas whether which while whose that if when though whom except given "
@@ -40,6 +44,16 @@ FEATURES = (
 )
 
 
+def _different(words: list[str]) -> float:
+    """How many different words a stretch has, as the mean over all stretches
+    of a text, each weighted by its length."""
+    total = 0.0
+    for at in range(0, len(words), STRETCH):
+        own = words[at : at + STRETCH]
+        total += len(set(own)) * len(own) ** 0.2  # their share by the power 0.8 of the length, times the length
+    return total / len(words)
+
+
 def features(text: str | None) -> list[float] | None:
     """Numbers of FEATURES; none for a text without words."""
     low = text.lower() if text else ""
@@ -54,11 +68,10 @@ def features(text: str | None) -> list[float] | None:
     spread = max(0.0, float(sizes @ (many * many)) / n - mean * mean) ** 0.5
     share = lambda a, b=None: int(sizes[a:b].sum()) / n
     per = n / sentences
-    window = words[:400]
     return [
         min(per, 80.0), math.log1p(per), mean, len(_VOWELS.findall(low)) / n, share(9), share(7), share(12), share(0, 4),
         min((low.count(",") + low.count(";")) / sentences, 10.0), min(sum(map(_OPENS_CLAUSE, words)) / sentences, 10.0),
-        len(set(window)) / len(window) ** 0.8, spread,
+        _different(words), spread,
     ]
 
 

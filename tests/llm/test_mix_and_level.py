@@ -102,6 +102,22 @@ def test_features():
     assert L.features(None) is L.features("") is L.features(" 12 !") is None
 
 
+def test_different_words_are_of_the_whole_text():
+    place = L.FEATURES.index("different words")
+    same = " ".join(["word"] * 400)
+    varied = [f"{a}{b}{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvwx"][:500]
+    # the first 400 words are equal, what comes behind them isn't
+    plain, rich = L.features(same + " word" * 500)[place], L.features(f"{same} {' '.join(varied)}")[place]
+    assert rich > 10 * plain
+    # every stretch by its length: 400, 400 and the last 100
+    assert rich == pytest.approx((400 * 1 / 400**0.8 + 400 * 400 / 400**0.8 + 100 * 100 / 100**0.8) / 900)
+    # a text that is longer, but no richer, gets the same
+    text = " ".join(varied[:400])
+    assert L.features(" ".join([text] * 5))[place] == pytest.approx(L.features(text)[place])
+    # short texts: all different words by the power 0.8 of all words
+    assert L.features("a b b c")[place] == pytest.approx(3 / 4**0.8)
+
+
 def test_held_out_accuracy(spark, sf):
     """Grades that the ranker hasn't seen are met within about a year."""
     root = sf.replace("sf0.001", "sf0.1")
