@@ -7,6 +7,10 @@ take part, down to where what is left could not make up ``LEAST_SHARED`` of
 its length: two records with that much of their chunks in common share one of
 these. The lengths of all shared chunks, summed, give each pair's overlap
 fraction; the pairs are then checked word by word.
+
+Chunks depend on the order of the words, so records are one only if their words
+are the same in the same order. The word check doesn't: where one order of a bag
+of words is to be looked at, all orders of it are.
 """
 
 from __future__ import annotations
@@ -82,7 +86,7 @@ def _lists(ends: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
 
 
-_CODED = "held boolean, field string, id long, n int, one long, two long, words array<long>, pieces array<long>"
+_CODED = "held boolean, field string, id long, n int, one long, two long, ordered long, words array<long>, pieces array<long>"
 
 
 def _encoder(min_words: int):
@@ -96,6 +100,8 @@ def _encoder(min_words: int):
             hashes = hash_words(unique)
             values, one, two = bags(ends, codes, hashes)
             n = np.diff(ends)
+            place = (np.arange(len(codes)) - np.repeat(ends[:-1], n)).astype(np.uint64)
+            ordered = sums(ends, mix(hashes[codes] + place * np.uint64(0xD6E8FEB86659FD93)))
             owner, digest, length = chunks(ends, hashes[codes])
             # a chunk that recurs in a record is another piece each time; the
             # last byte of a piece is its length
@@ -122,16 +128,17 @@ def _encoder(min_words: int):
                 [
                     batch.column("held").filter(rows), batch.column("field").filter(rows), batch.column("id").filter(rows),
                     pa.array(n[which].astype(np.int32)), pa.array(one[which].view(np.int64)), pa.array(two[which].view(np.int64)),
-                    column(ends, values), column(piece_ends, pieces),
+                    pa.array(ordered[which].view(np.int64)), column(ends, values), column(piece_ends, pieces),
                 ],
-                ["held", "field", "id", "n", "one", "two", "words", "pieces"],
+                ["held", "field", "id", "n", "one", "two", "ordered", "words", "pieces"],
             )
 
     return encode
 
 
 def _keys(common: np.ndarray, counts: np.ndarray):
-    """common: digests in the order of their frequency, with it."""
+    """common: digests in the order of their frequency, with it. The ids of the
+    rows are those of bags: a sum that two bags share costs a word check only."""
     order = np.argsort(common)
     ordered = common[order]
     shares = -(-counts // SPREAD)
@@ -140,7 +147,7 @@ def _keys(common: np.ndarray, counts: np.ndarray):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            uid, held = batch.column("uid").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False)
+            uid, bag, held = batch.column("uid").to_numpy(), batch.column("one").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False)
             n = batch.column("n").to_numpy().astype(np.int64)
             ends = batch.column("words").offsets.to_numpy().astype(np.int64)
             values = batch.column("words").values.to_numpy()[ends[0] : ends[-1]]
@@ -165,7 +172,7 @@ def _keys(common: np.ndarray, counts: np.ndarray):
             spread = mix(pieces.view(np.uint64) + share.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
             pieces = np.where(share > 0, spread, pieces)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(pieces), pa.array(uid[owner]), pa.array(held[owner]), pa.array(n[owner].astype(np.int32)), sj.fixed_binary(bits[owner])],
+                [pa.array(pieces), pa.array(bag[owner]), pa.array(held[owner]), pa.array(n[owner].astype(np.int32)), sj.fixed_binary(bits[owner])],
                 ["key", "id", "held", "n", "bits"],
             )
 
@@ -202,7 +209,7 @@ def split_overlap(held: DataFrame, other: DataFrame, *, threshold: float = 0.7,
     one_side = lambda df, x: df.select(F.lit(x).alias("held"), F.col("field").cast("string"), F.col("id").cast("long"), "text")
     texts = one_side(held, True).unionByName(one_side(other, False)).where("id is not null and text is not null")
     coded = materialise(texts.mapInArrow(_encoder(min_words), _CODED), "pieces")
-    key = ["held", "one", "two"]
+    key = ["held", "one", "two", "ordered"]
     records = materialise(
         coded.where(F.size("words") > 0)
         .groupBy(*key)
@@ -224,12 +231,12 @@ def split_overlap(held: DataFrame, other: DataFrame, *, threshold: float = 0.7,
         .distinct()
     )
     side = lambda held, x: records.where(held).select(
-        F.col("uid").alias(x), F.col("n").alias(f"n_{x}"), F.col("words").alias(f"words_{x}"), F.col("pieces").alias(f"pieces_{x}")
+        F.col("one").alias(x), F.col("uid").alias(f"uid_{x}"), F.col("n").alias(f"n_{x}"), F.col("words").alias(f"words_{x}"), F.col("pieces").alias(f"pieces_{x}")
     )
     both = found.join(side("held", "a"), "a").join(side("not held", "b"), "b")
     longer = F.greatest("n_a", "n_b")
     lengths = F.aggregate(F.array_intersect("pieces_a", "pieces_b"), F.lit(0).cast("long"), lambda s, x: s + x.bitwiseAND(F.lit(255)))
     pairs = both.where(F.size(F.array_intersect("words_a", "words_b")) * 1000 >= longer * permille).select(
-        F.col("a").alias("uid_held"), F.col("b").alias("uid_other"), (lengths / longer).alias("shared_chunks")
+        F.col("uid_a").alias("uid_held"), F.col("uid_b").alias("uid_other"), (lengths / longer).alias("shared_chunks")
     )
     return SplitOverlap(members, materialise(pairs, "overlaps"))

@@ -159,6 +159,26 @@ def test_overlap_edges(spark):
     assert overlaps(spark, held, []) == overlaps(spark, [], other) == []
 
 
+def test_orders_of_one_bag_have_their_own_chunks(spark):
+    """Each order of the words gets its own fraction; none is lost."""
+    rng = random.Random(2)
+    text = [f"w{k}" for k in range(60)]
+    swapped = [*text[40:], *text[:40]]
+    mixed = rng.sample(text, 60)  # shares no chunk
+    spell = lambda x: " ".join(x)
+    side = lambda data: spark.createDataFrame(data, "id long, field string, text string")
+    # whatever order comes first
+    for orders in ((text, swapped, mixed), (mixed, swapped, text), (swapped, mixed, text)):
+        other = [(k, "pool", spell(x)) for k, x in enumerate(orders)]
+        held = [(7, "body", spell(text)), (8, "body", spell(swapped))]
+        got = {(r.held_id, r.other_id): r.shared_chunks for r in so.split_overlap(side(held), side(other)).rows().collect()}
+        assert len(got) == 6
+        for h, own in ((7, text), (8, swapped)):
+            assert [o for o in range(3) if got[h, o] == 1] == [orders.index(own)]
+            assert 0.5 < min(got[h, orders.index(text)], got[h, orders.index(swapped)])
+            assert got[h, orders.index(mixed)] < so.LEAST_SHARED
+
+
 def test_chunks_cover_every_word_once():
     rng = np.random.default_rng(0)
     hashes = rng.integers(0, 2**63, 3000).astype(np.uint64)
