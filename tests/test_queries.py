@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tallyloom.operators import scoring as S
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 CORE = [n for n in QUERIES if not n[1:2].isdigit()]
@@ -53,3 +54,30 @@ def test_result_does_not_depend_on_partitions(spark, sf):
         assert plain(["a"] * 4, QUERIES["grouped_split"](spark, sf).collect()) == first
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.fixture(scope="module")
+def vectors(spark, tmp_path_factory):
+    """A folder of 60 vectors: row_id 0 to 29 with two variants each."""
+    at = str(tmp_path_factory.mktemp("vectors"))
+    data = [(k, k * 7 % 10, [float(k * k % 11), 1.0, float(k % 5)]) for k in range(60)]
+    spark.createDataFrame(data, "vec_id long, label int, embedding array<float>").write.parquet(f"{at}/embeddings.parquet")
+    return at
+
+
+def test_every_row_is_evaluated(spark, vectors):
+    scored = {r.row_id: r for r in QUERIES["eval_join"](spark, vectors).collect()}
+    assert sorted(scored) == list(range(30))
+    margins = {r.row_id: r.rule_violation for r in QUERIES["margin_by_row"](spark, vectors).collect()}
+    assert {k: r.score for k, r in scored.items()} == pytest.approx({k: round(m, 2) for k, m in margins.items()})
+    yes, no = ([r.score for r in scored.values() if r.label == x] for x in (1, 0))
+    want = sum((a > b) + (a == b) / 2 for a in yes for b in no) / (len(yes) * len(no))
+    assert QUERIES["roc_auc"](spark, vectors).first().auc == pytest.approx(want, abs=1e-8)
+
+
+def test_missing_scores(spark):
+    truth = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "row_id long, rule_violation int")
+    scores = spark.createDataFrame([(1, 0.5), (2, 0.25), (9, 1.0)], "row_id long, rule_violation double")
+    scored = S.with_truth(truth, scores)
+    assert sorted((r.row_id, r.label, r.score) for r in scored.collect()) == [(1, 1, 0.5), (2, 0, 0.25), (3, 1, None)]
+    assert S.roc_auc(scored).first().auc == 1.0
