@@ -75,6 +75,21 @@ def test_every_row_is_evaluated(spark, vectors):
     assert QUERIES["roc_auc"](spark, vectors).first().auc == pytest.approx(want, abs=1e-8)
 
 
+def test_two_workers_give_every_row(spark, vectors):
+    merged = QUERIES["merge_predictions"](spark, vectors).collect()
+    assert sorted((r.row_id, r.variant) for r in merged) == [(k, v) for k in range(30) for v in (0, 1)]
+    logits = {(r.vec_id // 2, r.vec_id % 2): r.logit for r in QUERIES["linear_head"](spark, vectors).where("class_id = 1").collect()}
+    assert {(r.row_id, r.variant): r.logit_yes for r in merged} == pytest.approx(logits)
+
+
+def test_overlapping_workers(spark):
+    schema = "row_id long, variant int, logit_no double, logit_yes double"
+    first = spark.createDataFrame([(k, v, 0.0, 1.0) for k in (1, 2, 3) for v in (0, 1)], schema)
+    second = spark.createDataFrame([(2, 0, 0.0, 2.0), (3, 0, 0.0, 2.0), (3, 1, 0.0, 2.0), (4, 1, 0.0, 2.0)], schema)
+    got = sorted((r.row_id, r.variant, r.logit_yes) for r in S.merge_predictions(first, second).collect())
+    assert got == [(1, 0, 1.0), (1, 1, 1.0), (2, 0, 2.0), (3, 0, 2.0), (3, 1, 2.0), (4, 1, 2.0)]
+
+
 def test_missing_scores(spark):
     truth = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "row_id long, rule_violation int")
     scores = spark.createDataFrame([(1, 0.5), (2, 0.25), (9, 1.0)], "row_id long, rule_violation double")
