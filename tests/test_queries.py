@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tallyloom.operators import scoring as S
@@ -96,3 +97,21 @@ def test_missing_scores(spark):
     scored = S.with_truth(truth, scores)
     assert sorted((r.row_id, r.label, r.score) for r in scored.collect()) == [(1, 1, 0.5), (2, 0, 0.25), (3, 1, None)]
     assert S.roc_auc(scored).first().auc == 1.0
+
+
+def test_combined_rules_have_all_examples_of_test(spark, tmp_path):
+    """Of differing rule sets: train's own, test's own, and test's of both."""
+    examples = [f"{p}_example_{k}" for p in ("positive", "negative") for k in (1, 2)]
+    schema = "src_pos long, row_id long, body string, rule string, subreddit string, " + ", ".join(f"{c} string" for c in examples)
+    table = lambda t, data: spark.createDataFrame([(k, k, f"{t} body {k}", rule, "r/x", *(f"{t} {c} {k}" for c in examples)) for k, rule in data], schema)
+    train = table("train", [(0, "No spam"), (1, "Be kind")]).withColumn("rule_violation", F.lit(1))
+    train.write.parquet(f"{tmp_path}/train.parquet")
+    table("test", [(0, "No spam"), (1, "No spam"), (3, "No spam"), (4, "No links"), (5, "No links"), (7, None)]).write.parquet(f"{tmp_path}/test.parquet")
+    got = {}
+    for r in QUERIES["combine_rules"](spark, str(tmp_path)).collect():
+        got.setdefault(r.rule, set()).add(r.text)
+    texts = lambda t, *rows: {f"{t} {c} {k}" for c in examples for k in rows}
+    assert got["Be kind"] == texts("train", 1)
+    assert got["No links"] == texts("test", 4, 5)
+    assert set(got) == {"Be kind", "No links", "No spam"}
+    assert got["No spam"] == texts("test", 0, 1, 3)
