@@ -4,8 +4,10 @@ The words that the corpus spells plainly, with their counts, are the
 vocabulary. A word written with other characters is run through a trie of the
 vocabulary by a weighted edit automaton: look-alike letters, compatibility
 forms and ignorable characters cost nothing, an accent more or less costs one.
-Of the cheapest spellings the most frequent is taken; words without one are
-normalised by table. Vocabulary and words meet by their skeleton, in which all
+``consistent_form`` accepts readings without cost only (``spelling`` can allow
+more): a word that is an accent off the vocabulary isn't corrected. Of the
+accepted spellings the most frequent is taken; words without one are normalised
+by table. Vocabulary and words meet by their skeleton, in which all
 look-alikes are one letter, so that each trie is small and no task holds the
 whole vocabulary.
 """
