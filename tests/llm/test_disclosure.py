@@ -45,6 +45,12 @@ CASES = [
     ("u/mirelka and Mirelka alone", []),
     ("mіrеlka Аshgrovе and ｍａｉｌ a.b@ｅxample.org", [("name", "mіrеlka Аshgrovе"), ("email", "a.b@ｅxample.org")]),
     ("mi​relka Ash\xadgrove", [("name", "mi​relka Ash\xadgrove")]),
+    ("Lost my wallet with SSN (917-04-1017) inside", [("id_number", "917-04-1017")]),
+    ("Personal id: 917-04-1017. Call 202-555-0144 after six", [("id_number", "917-04-1017"), ("phone", "202-555-0144")]),
+    ("My SSN no. is 917-04-1017. 202-555-0145 is my cell", [("id_number", "917-04-1017"), ("phone", "202-555-0145")]),
+    ("((202) 555-0146) is my cell, my SSN is in the post", [("phone", "(202) 555-0146")]),
+    ("Call 2 0 2 5 5 5 0 1 4 7 after six", [("phone", "2 0 2 5 5 5 0 1 4 7")]),
+    ("Rows 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 of it", []),
 ]
 
 
@@ -90,3 +96,27 @@ def test_places_in_the_stored_text(text):
     out, at = D.plain(text)
     assert len(out) == len(at)
     assert all(0 <= k < len(text) for k in at)
+
+
+def test_what_reveals_little_stays(spark):
+    """Forms of an e-mail address, a listed name and an address whose terms
+    mostly stand elsewhere; beside them, each time, one whose terms don't."""
+    crowd = [f"See news.example.com, issue {x}, or ask the mods {x}." for x in ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine"] * 3]
+    crowd += [f"The oak stands by the {x}, five minutes or a minute more." for x in ["pond", "gate", "mill", "road", "wall", "barn", "lake"] * 5]
+    crowd = [f"{x} {'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k, x in enumerate(crowd)]
+    texts = [
+        "Write to mods@news.example.com today", "Write to quillane@news.example.com today",
+        "Mark Oak is here, Rose Ashgrove too", "A 5 minute drive, then 5341 Kingfold Drive",
+    ]
+    df = spark.createDataFrame([("t", k, "body", t) for k, t in enumerate([*texts, *crowd, *CORPUS])], SCHEMA)
+    names = spark.createDataFrame([*NAMES, ("Oak", "family")], "name string, name_kind string")
+    found = D.personal_details(df, names).details
+    got = sorted((r.id, r.kind, texts[r.id][r.start : r.stop]) for r in found.collect() if r.id < len(texts))
+    assert got == [(1, "email", "quillane@news.example.com"), (2, "name", "Rose Ashgrove"), (3, "address", "5341 Kingfold Drive")]
+
+
+def test_copies_of_one_text_are_no_evidence(spark):
+    texts = ["Meet me at 6214 kingfold rd. at noon"] * 300 + ["I live at 12 Kingfold Lane, Caskton now", "Ship to 7 Kingfold Court, Apt 3 please"]
+    df = spark.createDataFrame([("t", k, "body", t) for k, t in enumerate(texts)], SCHEMA)
+    found = D.personal_details(df, spark.createDataFrame(NAMES, "name string, name_kind string")).details
+    assert found.where("kind = 'address'").count() == len(texts)
