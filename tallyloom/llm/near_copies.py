@@ -12,16 +12,18 @@ both, where t is the number of words either may lose. So
   further words as the estimated number of candidates calls for, and only
   documents that share all of these words are compared;
 * a key that is too frequent for one task is split by the next word of the
-  prefix, before the shuffle.
+  prefix before the shuffle, the parts that are still too frequent by one more
+  word, and so on. What shares even the last word that is tried is cut into
+  blocks, and every two blocks meet in a task of their own.
 
-No pair is lost by any of this. Documents with equal bags of words are one
+So no task holds more rows of a key than ``SPLIT_GROUP``, and no pair is lost by any of this. Documents with equal bags of words are one
 class; classes are compared, then checked word by word.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -36,11 +38,18 @@ from tallyloom.storage import materialise, shuffle_width
 #: A word is common if it stands in this share of the texts. There are at most
 #: (mean words of a text) / COMMON of them, whatever the size of the input.
 COMMON = 1 / 1000
-#: Most further words that a prefix is lengthened by.
+#: Most words that rows of a group are matched by, the key of one word included;
+#: a key of several words is followed by as many further ones.
 DEEPEST = 4
-#: Rows up to which a group is compared row by row; rows of a common word
-#: beyond which it is split by the next word.
+#: Rows up to which a group is compared row by row; rows of a key beyond which it
+#: is split by the next word.
 SMALL_GROUP, SPLIT_GROUP = 400, 250_000
+#: Most words of a key. Rows that share a key of so many words and are too many
+#: for one task are cut into blocks of BLOCK_ROWS.
+DEEPEST_KEY, BLOCK_ROWS = 4, 100_000
+#: Rare words are counted by hash in so many buckets, where some of them might
+#: make large groups (a power of 2). A full bucket costs time, never a pair.
+BUCKETS = 1 << 20
 #: The prefix is lengthened if the candidates cost more than the combinations
 #: of words that the next length makes; one of these costs as much as so many
 #: candidates.
@@ -74,6 +83,18 @@ class NearCopies:
         )
         return links.unionByName(copies)
 
+    def links(self) -> DataFrame:
+        """grp, id, class_id, copies, links: every row with the number of rows
+        of its class and of other rows that are near-same to it."""
+        sizes = self.members.groupBy("grp", "class_id").agg(F.count("*").alias("copies"))
+        both = self.pairs.select("grp", F.col("class_a").alias("mine"), F.col("class_b").alias("class_id"))
+        both = both.unionByName(self.pairs.select("grp", F.col("class_b").alias("mine"), F.col("class_a").alias("class_id")))
+        near = both.join(sizes, ["grp", "class_id"]).groupBy("grp", F.col("mine").alias("class_id")).agg(F.sum("copies").alias("near"))
+        classes = sizes.join(near, ["grp", "class_id"], "left").withColumn("links", F.col("copies") - 1 + F.coalesce("near", F.lit(0)))
+        return self.members.select("grp", "id", "class_id").join(classes.select("grp", "class_id", "copies", "links"), ["grp", "class_id"]).select(
+            "grp", "id", "class_id", "copies", "links"
+        )
+
 
 def _hashed(texts: pa.Array, groups: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Offsets and numbers of the words of each text, and the two sums. Texts
@@ -152,58 +173,140 @@ def _slices(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np
 _PREFIX = "key long, id long, n int, room int, depth int, bits binary, tail array<int>"
 
 
-def _prefixes(permille: int, frequent: np.ndarray):
-    """frequent: whether each common word is split by the next one."""
+@dataclass(frozen=True)
+class Heavy:
+    """Numbers of rows of the keys that may be too many for one task: of each
+    common word, of the rare words of each bucket (or nothing, where no rare word
+    can be in more than SMALL_GROUP rows), and of the keys of two words and more,
+    by depth: sorted keys beyond SPLIT_GROUP and their rows."""
+
+    common: np.ndarray
+    rare: np.ndarray
+    longer: tuple[tuple[np.ndarray, np.ndarray], ...] = ()
+
+    def words(self, rare: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        of_rare = self.rare[rare & (BUCKETS - 1)] if len(self.rare) else np.zeros(len(rare), np.int64)
+        return of_rare, self.common[common] if len(common) else np.zeros(0, np.int64)
+
+    def keys(self, depth: int, key: np.ndarray) -> np.ndarray:
+        known, rows = self.longer[depth - 2] if depth - 2 < len(self.longer) else (np.empty(0, np.int64),) * 2
+        if not len(known):
+            return np.zeros(len(key), np.int64)
+        at = np.minimum(np.searchsorted(known, key.view(np.int64)), len(known) - 1)
+        return np.where(known[at] == key.view(np.int64), rows[at], 0)
+
+    def deepest(self) -> bool:
+        """Whether some key of the longest kind is still too frequent."""
+        if self.longer:
+            return len(self.longer[-1][0]) > 0
+        return bool((self.common > SPLIT_GROUP).any() or (self.rare > SPLIT_GROUP).any())
+
+
+@dataclass(frozen=True)
+class _Sequences:
+    """The words of some rows in their global order, rare ones first."""
+
+    ends: np.ndarray
+    key: np.ndarray  # each word as part of a key
+    tail: np.ndarray  # each word as part of a tail; below 0 for rare ones
+    rows: np.ndarray  # about how many rows have the word, at least if many do
+    n: np.ndarray
+    need: np.ndarray
+
+
+def _sequences(batch: pa.RecordBatch, permille: int, heavy: Heavy) -> _Sequences:
+    rare_ends, rare = _ends(batch.column("rare"))
+    common_ends, common = _ends(batch.column("common"))
+    r, c = np.diff(rare_ends), np.diff(common_ends)
+    n = r + c
+    ends = np.concatenate([[0], np.cumsum(n)])
+    at_rare = np.arange(len(rare)) + np.repeat(ends[:-1] - rare_ends[:-1], r)
+    at_common = np.arange(len(common)) + np.repeat(ends[:-1] + r - common_ends[:-1], c)
+    key, tail, rows = np.empty(ends[-1], np.uint64), np.empty(ends[-1], np.int32), np.empty(ends[-1], np.int64)
+    key[at_rare], key[at_common] = rare.view(np.uint64), mix(common.astype(np.uint64) + np.uint64(1 << 40))
+    tail[at_rare], tail[at_common] = ~(rare & 0x7FFFFFFF).astype(np.int32), common
+    rows[at_rare], rows[at_common] = heavy.words(rare, common)
+    return _Sequences(ends, key, tail, rows, n, sj.need(n, permille))
+
+
+def _entries(s: _Sequences, heavy: Heavy, only: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
+    """owner, key, place of the key's last word, room, depth and blocks of the
+    rows of all keys. ``only``: keys of so many words before they are split."""
+    owner = np.repeat(np.arange(len(s.n)), s.n)
+    at = np.arange(len(owner))
+    room = (s.n - s.need)[owner] - (at - s.ends[owner])
+    own = np.flatnonzero(room >= 0)
+    owner, at, room, key, rows = owner[own], own, room[own], s.key[own], s.rows[own]
+    for depth in range(1, DEEPEST_KEY + 1):
+        if depth == only:
+            yield owner, key, at, room, depth, np.ones(len(owner), np.int64)
+            return
+        split = rows > SPLIT_GROUP
+        if not only:
+            # a row that needs no more words in common than the key has can't be split
+            last = split & ((s.need[owner] <= depth) if depth < DEEPEST_KEY else True)
+            for which, blocks in ((~split, np.ones(len(owner), np.int64)), (last, -(-rows // BLOCK_ROWS))):
+                if which.any():
+                    yield owner[which], key[which], at[which], room[which], depth, blocks[which]
+        if not split.any() or depth == DEEPEST_KEY:
+            return
+        owner, key, at, room = owner[split], key[split], at[split], room[split]
+        choices = np.minimum(room + 1, s.ends[owner + 1] - at - 1)
+        each = np.repeat(np.arange(len(owner)), choices)
+        ahead = np.arange(len(each)) - np.repeat(np.cumsum(choices) - choices, choices) + 1
+        owner, at, room = owner[each], at[each] + ahead, room[each] + 1 - ahead
+        key = mix(key[each] ^ mix(s.key[at]))
+        rows = heavy.keys(depth + 1, key)
+
+
+def _key_counter(permille: int, heavy: Heavy, depth: int):
+    """Keys of ``depth`` words that the heavy shorter ones are split into."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                for _, key, *_ in _entries(_sequences(batch, permille, heavy), heavy, depth):
+                    values, n = np.unique(key.view(np.int64), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], ["key", "n"])
+
+    return run
 
+
+def _prefixes(permille: int, heavy: Heavy):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             uid = batch.column("uid").to_numpy()
-            rare_ends, rare = _ends(batch.column("rare"))
-            ends, common = _ends(batch.column("common"))
-            r, c = np.diff(rare_ends), np.diff(ends)
-            n = r + c
-            lost = n - sj.need(n, permille)
-            rare_of, common_of = np.repeat(np.arange(len(n)), r), np.repeat(np.arange(len(n)), c)
-            word = mix(common.astype(np.uint64) + np.uint64(1 << 40))
-            bits = sj.sketches(np.concatenate([rare_of, common_of]), np.concatenate([rare.view(np.uint64), word]), len(n))
-
-            def out(owner, key, room, depth, tail_ends, tail, uid=uid, n=n, bits=bits) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays(
+            s = _sequences(batch, permille, heavy)
+            bits = sj.sketches(np.repeat(np.arange(len(s.n)), s.n), s.key, len(s.n))
+            for owner, key, at, room, depth, blocks in _entries(s, heavy):
+                # words of few rows need no further words
+                further = (s.rows[at] > SMALL_GROUP) | (s.tail[at] >= 0) | (depth > 1)
+                stop = np.where(further, np.minimum(at + room + DEEPEST, s.ends[owner + 1]), 0)
+                start = at + 1
+                if (blocks > 1).any():
+                    # a row of block b meets those of block c under the key of both
+                    each = np.repeat(np.arange(len(owner)), blocks)
+                    c = np.arange(len(each)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                    b = (mix(uid[owner].astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)[each]
+                    pair = (np.minimum(b, c) << 32 | np.maximum(b, c)).astype(np.uint64)
+                    key = np.where(blocks[each] > 1, mix(key[each] + mix(pair)), key[each])
+                    owner, room, start, stop = owner[each], room[each], start[each], stop[each]
+                tail_ends, tail = _slices(s.tail, start, stop)
+                yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(key.view(np.int64)),
                         pa.array(uid[owner]),
-                        pa.array(n[owner].astype(np.int32)),
+                        pa.array(s.n[owner].astype(np.int32)),
                         pa.array(room.astype(np.int32)),
                         pa.array(np.full(len(owner), depth, np.int32)),
                         sj.fixed_binary(bits[owner]),
-                        _lists(tail_ends, tail.astype(np.int32)),
+                        _lists(tail_ends, tail),
                     ],
                     ["key", "id", "n", "room", "depth", "bits", "tail"],
                 )
 
-            place = np.arange(len(rare)) - rare_ends[rare_of]
-            own = place <= lost[rare_of]
-            none = np.zeros(int(own.sum()) + 1, np.int64)
-            yield out(rare_of[own], rare[own].view(np.uint64), (lost[rare_of] - place)[own], 1, none, np.empty(0, np.int32))
-
-            at = np.arange(len(common))
-            place = at - ends[common_of] + r[common_of]
-            room = lost[common_of] - place
-            stop = np.minimum(at + room + DEEPEST, ends[common_of + 1])
-            split = frequent[common] if len(common) else np.zeros(0, bool)
-            own = np.flatnonzero((room >= 0) & ~split)
-            yield out(common_of[own], word[own], room[own], 1, *_slices(common, at[own] + 1, stop[own]))
-
-            hot = np.flatnonzero((room >= 0) & split)
-            for d in range(1, int((room[hot] + 1).max(initial=0)) + 1):
-                own = hot[(hot + d < ends[common_of[hot] + 1]) & (d <= room[hot] + 1)]
-                if len(own):
-                    key = mix(word[own] ^ mix(word[own + d]))
-                    # positions count from the second word on
-                    yield out(common_of[own], key, room[own] + 1 - d, 2, *_slices(common, own + d + 1, stop[own]))
-
     return rows
 
 
@@ -228,6 +331,7 @@ def _meetings(rows: np.ndarray, width: np.ndarray, tail_ends: np.ndarray, tail:
     entry, at, rest = entry[by], at[by], rest[by]
     word = tail[at].astype(np.int64)
     cost = np.cumsum(_choose(rest, more - 1))
+    hashed = more > 3 or bool(len(tail) and tail.min() < 0)
     begin = 0
     while begin < len(word):
         stop = int(np.searchsorted(cost, (cost[begin - 1] if begin else 0) + BLOCK_COMBINATIONS, "right"))
@@ -245,7 +349,7 @@ def _meetings(rows: np.ndarray, width: np.ndarray, tail_ends: np.ndarray, tail:
             own = np.flatnonzero(inside[:, columns[-1]]) if columns else np.arange(stop - block.start)
             sign = word[block][own]
             for x in columns:
-                sign = mix(sign.astype(np.uint64) * np.uint64(1 << 21) + grid[own, x].astype(np.uint64)).view(np.int64) if more > 3 else sign << 21 | grid[own, x]
+                sign = mix(sign.astype(np.uint64) * np.uint64(1 << 21) + grid[own, x].astype(np.uint64)).view(np.int64) if hashed else sign << 21 | grid[own, x]
             signs.append(sign)
             owners.append(entry[block][own])
         sign, owner = np.concatenate(signs), rows[np.concatenate(owners)]
@@ -272,8 +376,9 @@ def _by_further_words(n, room, depth, bits, tail_ends, tail, permille) -> tuple[
     lengths = np.diff(tail_ends)
     # room counts from the last key word; with k further words, the last of
     # them stands at most room + k places behind it
-    alone = np.minimum(lengths, room + DEEPEST - depth) > LONG_TAIL
-    alone |= sj.need(n, permille) < DEEPEST
+    most = DEEPEST - 1
+    alone = np.minimum(lengths, room + most) > LONG_TAIL
+    alone |= sj.need(n, permille) < depth + most
     found: list[np.ndarray] = []
 
     def keep(i: np.ndarray, j: np.ndarray) -> None:
@@ -290,7 +395,6 @@ def _by_further_words(n, room, depth, bits, tail_ends, tail, permille) -> tuple[
         keep(few[k], j)
 
     rest = np.flatnonzero(~alone)
-    most = DEEPEST - depth
     for more in range(1, most + 1) if len(rest) else ():
         width = np.minimum(lengths[rest], room[rest] + more)
         if more < most and _estimate(rest, width, tail_ends, tail, more) > COMBINATION * _choose(width + 1, more + 1).sum():
@@ -327,12 +431,6 @@ def _candidates(permille: int):
                 for g in np.flatnonzero(size > SMALL_GROUP):
                     s = slice(first[g], first[g + 1])
                     te = tail_ends[first[g] : first[g + 1] + 1]
-                    if te[-1] == te[0]:  # a rare word has no further words: all its rows
-                        for i, j in sj.pairs_within(np.zeros(size[g], np.int64), n[s], permille):
-                            ok = sj.may_match(i, j, n[s], bits[s], permille)
-                            a.append(uid[s][i[ok]])
-                            b.append(uid[s][j[ok]])
-                        continue
                     i, j = _by_further_words(n[s], room[s].astype(np.int64), int(depth[first[g]]), bits[s], te, tail, permille)
                     a.append(uid[s][i])
                     b.append(uid[s][j])
@@ -374,7 +472,6 @@ def near_copies(
     common = counts.where(F.col("n") >= max(2.0, COMMON * total)).collect()
     common.sort(key=lambda x: (x.n, x.word))
     hashes = np.asarray([x.word for x in common], np.int64)
-    frequent = np.asarray([x.n > SPLIT_GROUP for x in common], bool)
 
     coded = materialise(
         texts.mapInArrow(_encoder(hashes, min_words), "grp string, id long, one long, two long, rare array<long>, common array<int>"), "coded"
@@ -388,10 +485,24 @@ def near_copies(
     )
     members = coded.select(*key, "id").distinct().join(classes.select(*key, "class_id", "copies"), key).select("grp", "id", "class_id", "copies")
 
+    rare = np.empty(0, np.int64)
+    if max(2.0, COMMON * total) > SMALL_GROUP:  # no rare word is in more rows than that
+        bucket = F.col("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")
+        filled = classes.select(F.explode("rare").alias("word")).groupBy(bucket).count().where(F.col("count") > SMALL_GROUP)
+        filled = filled.toArrow()  # a line per bucket at most
+        rare = np.zeros(BUCKETS, np.int64)
+        rare[filled.column("bucket").to_numpy()] = filled.column("count").to_numpy()
+    heavy = Heavy(np.asarray([x.n for x in common], np.int64), rare)
+    words = classes.select("uid", "rare", "common")
+    while heavy.deepest() and len(heavy.longer) + 2 <= DEEPEST_KEY:
+        counted = words.mapInArrow(_key_counter(permille, heavy, len(heavy.longer) + 2), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        # each has SPLIT_GROUP rows: they are few
+        more = counted.where(F.col("n") > SPLIT_GROUP).orderBy("key").toArrow()
+        heavy = replace(heavy, longer=(*heavy.longer, (more.column("key").to_numpy(), more.column("n").to_numpy())))
+
     width = shuffle_width(spark)
     found = (
-        classes.select("uid", "rare", "common")
-        .mapInArrow(_prefixes(permille, frequent), _PREFIX)
+        words.mapInArrow(_prefixes(permille, heavy), _PREFIX)
         .repartition(width, "key")
         .sortWithinPartitions("key", "n")
         .mapInArrow(_candidates(permille), "a long, b long")

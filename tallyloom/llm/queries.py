@@ -57,6 +57,12 @@ def p5_found(spark: SparkSession, at: str) -> DataFrame:
     return pairs.select(F.col("grp").alias("tbl"), F.col("id_a").alias("src_pos_a"), F.col("id_b").alias("src_pos_b"))
 
 
+def p5_classes(spark: SparkSession, at: str) -> DataFrame:
+    """Every comment of 12 words or more with its class of equal bags of words,
+    the size of the class and the number of comments that are near-same to it."""
+    return _near(spark, at).links().select(F.col("grp").alias("tbl"), F.col("id").alias("src_pos"), F.col("class_id").alias("class_src_pos"), "copies", "links")
+
+
 def _free_texts(spark: SparkSession, at: str) -> DataFrame:
     train, data3 = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("train", "data3_positive"))
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in ("body", "positive_example_1"))))
@@ -168,4 +174,4 @@ def p8_by_source(spark: SparkSession, at: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_sanitised": p2_sanitised, "p3_found": p3_found, "p3_by_source": p3_by_source, "p4_found": p4_found, "p4_consistent_text": p4_consistent_text, "p5_found": p5_found, "p6_found": p6_found, "p6_by_item": p6_by_item, "p6_clean_corpus": p6_clean_corpus, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_level": p8_level, "p8_by_source": p8_by_source}
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_sanitised": p2_sanitised, "p3_found": p3_found, "p3_by_source": p3_by_source, "p4_found": p4_found, "p4_consistent_text": p4_consistent_text, "p5_found": p5_found, "p5_classes": p5_classes, "p6_found": p6_found, "p6_by_item": p6_by_item, "p6_clean_corpus": p6_clean_corpus, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_level": p8_level, "p8_by_source": p8_by_source}

@@ -53,6 +53,58 @@ def test_all_pairs_are_found(spark, monkeypatch, size, deep):
     assert found(spark, data) == expected(data)
 
 
+@pytest.mark.parametrize("size", [6, 40, 400])
+@pytest.mark.parametrize("deepest", [1, 2, 3])
+def test_split_until_it_fits(spark, monkeypatch, size, deepest):
+    """Rare words in large groups, keys that are split again and again, and
+    blocks of what shares even the longest key: no pair is lost."""
+    for name, value in {"COMMON": 0.4, "SMALL_GROUP": 3, "SPLIT_GROUP": 12, "BLOCK_ROWS": 5, "BUCKETS": 64, "DEEPEST_KEY": deepest}.items():
+        monkeypatch.setattr(nc, name, value)
+    rng = random.Random(size + deepest)
+    data = [(rng.choice("ab"), k, t) for k, t in enumerate(noisy(rng, 160, [f"w{x}" for x in range(size)]))]
+    assert found(spark, data) == expected(data)
+
+
+@pytest.mark.parametrize("share, least", [(0.5, 1), (0.34, 2)])
+def test_few_words_in_common(spark, monkeypatch, share, least):
+    """Texts that need fewer words in common than a split key has."""
+    for name, value in {"SMALL_GROUP": 3, "SPLIT_GROUP": 6, "BLOCK_ROWS": 5, "DEEPEST_KEY": 3}.items():
+        monkeypatch.setattr(nc, name, value)
+    rng = random.Random(8)
+    data = [("a", k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6)))) for k in range(90)]
+    bags = [(i, bag(t)) for _, i, t in data]
+    want = sorted(("a", i, j) for k, (i, a) in enumerate(bags) for j, b in bags[k + 1 :] if near(a, b, share, least))
+    assert found(spark, data, threshold=share, min_words=least) == want
+
+
+def test_no_key_has_more_rows_than_a_task_may_hold(monkeypatch):
+    import pyarrow as pa
+
+    for name, value in {"SPLIT_GROUP": 40, "BLOCK_ROWS": 20, "DEEPEST_KEY": 3}.items():
+        monkeypatch.setattr(nc, name, value)
+    rng = np.random.default_rng(2)
+    sets = [np.sort(np.append(rng.choice(np.arange(3, 60), 12, replace=False), [0, 1, 2])) for _ in range(300)]
+    lists = lambda x, kind: pa.array(x, pa.list_(kind))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), lists([[]] * 300, pa.int64()), lists(sets, pa.int32())], ["uid", "rare", "common"])
+    heavy = nc.Heavy(np.bincount(np.concatenate(sets)), np.empty(0, np.int64))
+    while heavy.deepest() and len(heavy.longer) + 2 <= nc.DEEPEST_KEY:
+        key, n = (np.concatenate([x.column(c).to_numpy() for x in nc._key_counter(700, heavy, len(heavy.longer) + 2)(iter([batch]))]) for c in (0, 1))
+        heavy = nc.Heavy(heavy.common, heavy.rare, (*heavy.longer, (key[n > nc.SPLIT_GROUP], n[n > nc.SPLIT_GROUP])))
+    assert len(heavy.longer) == 2
+    keys = np.concatenate([x.column("key").to_numpy() for x in nc._prefixes(700, heavy)(iter([batch]))])
+    assert np.unique(keys, return_counts=True)[1].max() <= 2 * nc.SPLIT_GROUP
+
+
+def test_members_and_links(spark):
+    rng = random.Random(4)
+    data = [("a", k, t) for k, t in enumerate(noisy(rng, 80, [f"w{x}" for x in range(60)]))]
+    data += [("a", 100 + k, data[0][2].upper()) for k in range(3)]
+    got = nc.near_copies(spark.createDataFrame(data, SCHEMA), id_col="id", text_col="text", group_col="grp").links()
+    pairs = expected(data)
+    want = {i: sum(i in (a, b) for _, a, b in pairs) for _, i, t in data if bag(t).total() >= 12}
+    assert {r.id: r.links for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("share", [0.5, 0.8, 1.0])
 def test_thresholds(spark, monkeypatch, share):
     monkeypatch.setattr(nc, "SMALL_GROUP", 3)
