@@ -80,5 +80,18 @@ STEPS: dict[str, tuple[Step, ...]] = {
     "words": (WORDS,),
     "whitespace": (BLANKS,),
 }
+#: What a text holds if a step can find anything in it, in a form that is found
+#: fast: most texts hold none of it and are left alone.
+NEEDS: dict[str, str] = {
+    "urls": rf"(?iuU)\.[\s\x1c-\x1f]*+(?:{DOMAINS})|://|www\.",
+    "usernames": "[uU]/|@",
+    "emails": "@",
+    "subreddits": "[rR]/",
+    "phones": "[0-9]{3}",
+    "money": "(?iu)[$£€]|dollar|pound|euro",
+    "random": "[0-9]",
+    "ips": r"[0-9]\.[0-9]",
+    "timestamps": "[0-9]{4}",
+}
 #: The whole normaliser, in its order; mentions of subreddits stay.
 ORDER = ("urls", "usernames", "emails", "phones", "money", "random", "ips", "timestamps", "quotes", "characters", "words", "whitespace")

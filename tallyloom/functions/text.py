@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,9 +54,18 @@ def apply_steps(text: Column | str, steps: Iterable[P.Step]) -> Column:
     return out
 
 
+def _apply(text: Column | str, name: str) -> Column:
+    """The steps of a normaliser, on texts that hold what they need."""
+    if name not in P.NEEDS:
+        return apply_steps(text, P.STEPS[name])
+    # the text is evaluated once, as an element of an array
+    step = lambda x: F.when(F.rlike(x, F.lit(P.NEEDS[name])), apply_steps(x, P.STEPS[name])).otherwise(x)
+    return F.element_at(F.transform(F.array(_column(text)), step), 1)
+
+
 def _normaliser(name: str, doc: str):
     def normalise(text: Column | str) -> Column:
-        return apply_steps(text, P.STEPS[name])
+        return _apply(text, name)
 
     normalise.__name__ = normalise.__qualname__ = f"normalize_{name}"
     normalise.__doc__ = doc
@@ -80,7 +89,7 @@ reduce_whitespace = _normaliser("whitespace", "Runs of blanks and tabs become on
 
 def normalize_text(text: Column | str) -> Column:
     """All twelve normalisers in their order. Not idempotent, as it never was."""
-    return apply_steps(text, (step for name in P.ORDER for step in P.STEPS[name]))
+    return reduce(_apply, P.ORDER, _column(text))
 
 
 def normalize_incremental(text: Column | str, *, strict: bool = True) -> Column:

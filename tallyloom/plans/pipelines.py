@@ -13,7 +13,7 @@ from tallyloom.operators.pools import combine, fan_out, group_by_rule, split_poo
 from tallyloom.operators.prompts import inference_prompts
 from tallyloom.operators.scoring import aggregate_predictions, score_prompts
 from tallyloom.operators.splits import split_by_hash, split_toxicity
-from tallyloom.storage import materialise
+from tallyloom.storage import materialise, spread
 
 
 #: The name that shared negatives of the score rules stand under.
@@ -59,6 +59,6 @@ def score_comments(test: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFram
     pools (by default the examples of the rows themselves), prompts scored,
     and the variants of a row put together."""
     # every rank below reads the texts again: they are normalised once
-    clean = materialise(normalize_text_columns(test), "normalised")
+    clean = materialise(normalize_text_columns(spread(test)), "normalised")
     pools = group_by_rule(clean) if pools is None else pools
     return aggregate_predictions(score_prompts(inference_prompts(clean, pools, seed=seed), scorer))
