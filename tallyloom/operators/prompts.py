@@ -90,7 +90,7 @@ def prompt_text(rule: Column | str, support: Column | str, support_label: Column
 def prompt_ids(tokenizer: Tokenizer, rule: str, support: str, support_label: str, target: str) -> Column:
     """Ids of the prompt, its pieces encoded apart: the whole text is never
     encoded again, since its ids could differ."""
-    ids = lambda x: tokenizer.ids(F.lit(x))
+    ids = tokenizer.constant
     answer = F.when(F.col(support_label) == 1, ids(VIOLATION_YES)).otherwise(ids(VIOLATION_NO))
     return F.concat(
         ids(HEADER), tokenizer.ids(rule_line(rule)), ids(COMMENT), tokenizer.ids(F.col(support)), ids(LINE_END), answer,
@@ -110,7 +110,7 @@ def answer_positions(tokenizer: Tokenizer, rule: str, support: str, support_labe
 
 def inference_prompts(df: DataFrame, pools: DataFrame, *, seed: int | None = None, on_missing: str = "null") -> DataFrame:
     """row_id, src_pos, variant, support_label, prompt: two prompts per row."""
-    rows = expand(df, seed=seed)
+    rows = expand(df.select("row_id", "src_pos", "rule", "body"), seed=seed)  # only what the ranks below carry along
     got = sample_support(rows, pools, order=["src_pos", "variant"], seed=seed, on_missing=on_missing)
     return got.select("row_id", "src_pos", "variant", "support_label", prompt_text("rule", "support", "support_label", "body").alias("prompt"))
 

@@ -6,13 +6,19 @@ import base64
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import sanitized
 from tallyloom.operators.ordering import global_rank
 
+#: Most ids of a vocabulary that every task gets a copy of (16 bytes each).
+MOST_HELD = 4_000_000
+
 
 class Tokenizer(Protocol):
     """What the prompt and vocabulary operators need of a tokenizer."""
@@ -20,16 +26,33 @@ class Tokenizer(Protocol):
     def ids(self, text: Column) -> Column:
         """array<int>; null for null."""
 
+    def constant(self, text: str) -> Column:
+        """The ids of a text that is the same in all rows."""
+
     def length(self, text: Column) -> Column:
         """Number of ids; null for null."""
 
 
+def _lists(like: pa.Array, values: pa.Array | np.ndarray, lengths: pa.Array) -> pa.Array:
+    """Lists of the given lengths, null where ``like`` is."""
+    ends = np.concatenate([[0], np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=like.is_null())
+
+
 class ByteTokenizer:
-    """One id per byte of UTF-8, in the JVM."""
+    """One id per byte of UTF-8, from whole Arrow buffers at a time."""
 
     def ids(self, text: Column) -> Column:
-        pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1))
-        return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int"))
+        def run(texts: pa.Array) -> pa.Array:
+            texts = texts.cast(pa.large_binary())
+            data, ends = texts.buffers()[2], np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            held = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.empty(0, np.uint8)
+            return _lists(texts, held.astype(np.int32), pc.binary_length(texts))
+
+        return F.arrow_udf(run, "array<int>")(text)
+
+    def constant(self, text: str) -> Column:
+        return F.array(*(F.lit(x) for x in text.encode()))
 
     def length(self, text: Column) -> Column:
         return F.octet_length(text)
@@ -47,6 +70,9 @@ class WordTokenizer:
     def ids(self, text: Column) -> Column:
         return F.transform(self.pieces(text), lambda x: F.pmod(F.xxhash64(x), F.lit(self.size)).cast("int"))
 
+    def constant(self, text: str) -> Column:
+        return self.ids(F.lit(text))
+
     def length(self, text: Column) -> Column:
         return F.size(self.pieces(text))
 
@@ -73,6 +99,12 @@ class PublicTokenizer:
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
         return F.pandas_udf(run, "array<int>")(text)
 
+    def constant(self, text: str) -> Column:
+        import tiktoken
+
+        encoding = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
+        return F.array(*(F.lit(x) for x in encoding.encode_ordinary(text)))
+
     def length(self, text: Column) -> Column:
         return F.size(self.ids(text))
 
@@ -102,9 +134,31 @@ def vocab_map(used: DataFrame) -> DataFrame:
     return global_rank(used.where("old_id is not null"), [], ["old_id"], "new_id").select("old_id", "new_id")
 
 
-def remap(df: DataFrame, vocab: DataFrame, key: list[str], ids: str = "ids") -> DataFrame:
+def remap(df: DataFrame, vocab: DataFrame, key: list[str], ids: str = "ids", *, most: int = MOST_HELD) -> DataFrame:
     """key, ids: each list with its ids replaced, unknown ones by the size of
-    the vocabulary. Empty lists stay empty and null lists null."""
+    the vocabulary. Empty lists stay empty and null lists null; null ids are
+    unknown.
+
+    A vocabulary of up to ``most`` ids goes to every task and lists are replaced
+    where they are. A larger one is joined, which moves every token; ``key`` must
+    identify a row then.
+    """
+    size = vocab.count()
+    if size > most:
+        return _remap_by_join(df, vocab, key, ids)
+    held = vocab.select(F.col("old_id").cast("long"), F.col("new_id").cast("long")).orderBy("old_id").toArrow()
+    old, new = (np.append(held.column(k).to_numpy(), last).astype(np.int64) for k, last in ((0, np.iinfo(np.int64).max), (1, size)))
+
+    def run(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten()
+        values = flat.cast(pa.int64()).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
+        at = np.searchsorted(old, values)
+        return _lists(lists, np.where(old[at] == values, new[at], size), pc.list_value_length(lists))
+
+    return df.select(*key, F.arrow_udf(run, "array<bigint>")(F.col(ids)).alias(ids))
+
+
+def _remap_by_join(df: DataFrame, vocab: DataFrame, key: list[str], ids: str) -> DataFrame:
     size = vocab.agg(F.count("*").alias("oov"))
     each = df.select(*key, F.posexplode(ids).alias("at", "old_id"))
     found = each.join(vocab, "old_id", "left").join(F.broadcast(size)).withColumn("new_id", F.coalesce("new_id", "oov"))  # size is one row
