@@ -129,8 +129,9 @@ def own_negatives(refs: DataFrame) -> DataFrame:
 
 
 def unique_negatives(pools: DataFrame) -> DataFrame:
-    """rule, unique_count of its negatives."""
-    return pools.where("polarity = 'negatives'").groupBy("rule").agg(F.countDistinct(F.coalesce("text", F.lit(""))).alias("unique_count"))
+    """rule, unique_count of its negatives; null and the empty text are two."""
+    each = F.struct(F.col("text").isNull(), F.coalesce("text", F.lit("")))
+    return pools.where("polarity = 'negatives'").groupBy("rule").agg(F.countDistinct(each).alias("unique_count"))
 
 
 def clean_negatives(pools: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from tallyloom.plans import pipelines
 from tallyloom.schemas import DATA2_SCORES
 from tallyloom.sources import sinks
 from tallyloom.sources import tables as T
-from tallyloom.storage import materialise, shared_folder
+from tallyloom.storage import materialise, shared_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,7 +33,7 @@ def query(f: Query) -> Query:
 
 def _normalised(name: str, function: Callable[[str], Column]) -> None:
     def run(spark: SparkSession, at: str) -> DataFrame:
-        rows = T.read_parquet(spark, at, "train", ["src_pos", "body"])
+        rows = spread(T.read_parquet(spark, at, "train", ["src_pos", "body"]))
         return rows.select("src_pos", function("body").alias("text"))
 
     run.__doc__ = function.__doc__
@@ -66,7 +66,8 @@ def _rules(spark: SparkSession, at: str) -> DataFrame:
 @query
 def norm_columns(spark: SparkSession, at: str) -> DataFrame:
     """All text columns of the test table, normalised."""
-    return N.normalize_text_columns(T.read_parquet(spark, at, "test")).select("src_pos", *N.TEXT_COLUMNS)
+    rows = spread(T.read_parquet(spark, at, "test", ["src_pos", *N.TEXT_COLUMNS]))
+    return N.normalize_text_columns(rows)
 
 
 @query
@@ -248,14 +249,14 @@ def expand_rows(spark: SparkSession, at: str) -> DataFrame:
 @query
 def support_sampler(spark: SparkSession, at: str) -> DataFrame:
     test, pools = _test_pools(spark, at)
-    got = E.sample_support(E.expand(test), pools, order=["src_pos", "variant"])
+    got = E.sample_support(E.expand(test.select("src_pos", "row_id", "rule")), pools, order=["src_pos", "variant"])
     return got.select("src_pos", "row_id", "variant", "support_label", "support_pos", "support")
 
 
 @query
 def support_sampler_reshuffled(spark: SparkSession, at: str) -> DataFrame:
     test, pools = _test_pools(spark, at)
-    got = E.sample_support(E.expand(test, seed=7), pools, order=["src_pos", "variant"], seed=7)
+    got = E.sample_support(E.expand(test.select("src_pos", "row_id", "rule"), seed=7), pools, order=["src_pos", "variant"], seed=7)
     return got.select("src_pos", "row_id", "variant", "support_label", "support_pos")
 
 
@@ -267,7 +268,7 @@ def prompt_build(spark: SparkSession, at: str) -> DataFrame:
 @query
 def violation_positions(spark: SparkSession, at: str) -> DataFrame:
     test, pools = _test_pools(spark, at)
-    got = E.sample_support(E.expand(test), pools, order=["src_pos", "variant"])
+    got = E.sample_support(E.expand(test.select("src_pos", "rule", "body", "row_id")), pools, order=["src_pos", "variant"])
     places = E.answer_positions(BYTES, "rule", "support", "support_label", "body")
     return got.select("src_pos", "variant", F.get(places, F.lit(0)).alias("first_end"), F.get(places, F.lit(1)).alias("second_end"))
 
@@ -276,7 +277,7 @@ def violation_positions(spark: SparkSession, at: str) -> DataFrame:
 def prompt_tokens(spark: SparkSession, at: str) -> DataFrame:
     """The ids of every prompt, by number and a sum that depends on places."""
     test, pools = _test_pools(spark, at)
-    got = E.sample_support(E.expand(test), pools, order=["src_pos", "variant"])
+    got = E.sample_support(E.expand(test.select("src_pos", "rule", "body", "row_id")), pools, order=["src_pos", "variant"])
     ids = E.prompt_ids(BYTES, "rule", "support", "support_label", "body")
     rows = got.select("src_pos", "variant", ids.alias("ids")).where("ids is not null")
     weighed = F.aggregate(F.transform("ids", lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
@@ -304,7 +305,7 @@ def tokenize_pools(spark: SparkSession, at: str) -> DataFrame:
 
 
 def _coded(spark: SparkSession, at: str) -> DataFrame:
-    return V.encode(T.read_parquet(spark, at, "train", ["src_pos", "body"]), BYTES, text="body")
+    return V.encode(spread(T.read_parquet(spark, at, "train", ["src_pos", "body"])), BYTES, text="body")
 
 
 @query
@@ -333,8 +334,8 @@ def _embeddings(spark: SparkSession, at: str) -> DataFrame:
 
 @query
 def embedding_gather(spark: SparkSession, at: str) -> DataFrame:
-    vectors = _embeddings(spark, at)
-    vocab = V.vocab_map(vectors.where("label < 5").select(F.col("vec_id").alias("old_id")))
+    """The rows of the matrix whose ids train uses."""
+    vectors, vocab = _embeddings(spark, at), V.vocab_map(V.used_ids(_coded(spark, at)))
     total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double"))
     return V.gather(vocab, vectors, "vec_id", "embedding").select("new_id", F.size("vec").alias("dims"), F.round(total, 5).alias("total"))
 

@@ -6,8 +6,8 @@ digits and blanks are spelled out here.
 
 from __future__ import annotations
 
-from tallyloom.functions.patterns import DOMAINS
-from tallyloom.functions.text import NA_TOKENS
+from tallyloom.functions.patterns import DOMAINS, ORDER, SLOT, SPECIAL, SPECIAL_OR_ALNUM, TOKEN, URL_WITH_DOMAIN
+from tallyloom.functions.text import NA_TOKENS, TEXT_COLUMNS
 from tallyloom.operators.prompts import COMMENT, HEADER, VIOLATION
 from tallyloom.schemas import DATA2_SCORES, DATA3_SCORES
 
@@ -30,31 +30,119 @@ def _normalised(expression: str) -> str:
     return f"SELECT src_pos, {expression} AS text FROM train"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for a value that is worked out once."""
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
 _STRIP = ((f"^{_S}+", "", "g"), (f"{_S}+$", "", "g"))
 _STRIPPED = _replace("body", *_STRIP)
 
-ORACLE: dict[str, str] = {
-    "norm_urls": _normalised(
-        _replace("body", (rf"(?:(?:https?://|ftp://|www\.){_NOT_S}+)|(?:{_W}+{_S}*\.{_S}*(?:{DOMAINS})(?:{_S}|$|{_NOT_W}))", "<URL>", "gi"))
-    ),
-    "norm_usernames": _normalised(
-        _replace("body", (rf"(^|{_NOT_W})/?u/[A-Za-z0-9_-]+", r"\1<USER>", "gi"), (rf"(^|{_NOT_W})@[A-Za-z0-9_]{{1,30}}\b", r"\1<USER>", "g"))
-    ),
-    "norm_emails": _normalised(_replace("body", (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "<EMAIL>", "gi"))),
-    "norm_subreddits": _normalised(_replace("body", (rf"(^|{_NOT_W})/?r/[A-Za-z0-9_-]+", r"\1<SUB>", "gi"))),
-    "norm_phones": _normalised(
-        _replace("body", (rf"(?:\+?1[-.{_BLANKS}]?)?\(?[0-9]{{3}}\)?[-.{_BLANKS}]?[0-9]{{3}}[-.{_BLANKS}]?[0-9]{{4}}|1-800-[A-Z0-9-]+", "<PHONE>", "gi"))
-    ),
-    "norm_money": _normalised(
-        _replace(
-            "body",
-            (rf"[$£€][0-9]+(?:[,.][0-9]+)*(?:{_S}*(?:million|billion|k|M|B))?|(?:[0-9]+|[Xx]{{2,}}){_S}*(?:dollars?|pounds?|euros?)", "<MONEY>", "gi"),
-        )
+# The normalisers' patterns without look-around.
+_CLOCK, _UTC = rf"\b[0-9]{{1,2}}:[0-9]{{1,2}},{_S}+", rf"{_S}+\(UTC\)"
+_MONTH_DAY, _DAY_MONTH = rf"[A-Za-z]+{_S}+[0-9]{{1,2}},{_S}+[0-9]{{4}}", rf"[0-9]{{1,2}}{_S}+[A-Za-z]+{_S}+[0-9]{{4}}"
+_PATTERNS: dict[str, tuple[tuple[str, str, str], ...]] = {
+    "urls": ((rf"(?:(?:https?://|ftp://|www\.){_NOT_S}+)|(?:{_W}+{_S}*\.{_S}*(?:{DOMAINS})(?:{_S}|$|{_NOT_W}))", "<URL>", "gi"),),
+    "usernames": ((rf"(^|{_NOT_W})/?u/[A-Za-z0-9_-]+", r"\1<USER>", "gi"), (rf"(^|{_NOT_W})@[A-Za-z0-9_]{{1,30}}\b", r"\1<USER>", "g")),
+    "emails": ((r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "<EMAIL>", "gi"),),
+    "subreddits": ((rf"(^|{_NOT_W})/?r/[A-Za-z0-9_-]+", r"\1<SUB>", "gi"),),
+    "phones": ((rf"(?:\+?1[-.{_BLANKS}]?)?\(?[0-9]{{3}}\)?[-.{_BLANKS}]?[0-9]{{3}}[-.{_BLANKS}]?[0-9]{{4}}|1-800-[A-Z0-9-]+", "<PHONE>", "gi"),),
+    "money": ((rf"[$£€][0-9]+(?:[,.][0-9]+)*(?:{_S}*(?:million|billion|k|M|B))?|(?:[0-9]+|[Xx]{{2,}}){_S}*(?:dollars?|pounds?|euros?)", "<MONEY>", "gi"),),
+    "ips": ((r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "", "g"),),
+    "timestamps": (
+        *((x + _UTC, "", "g") for x in (_CLOCK + _MONTH_DAY, _CLOCK + _DAY_MONTH, rf"\b{_MONTH_DAY}", rf"\b{_DAY_MONTH}")),
+        # forms with (UTC) are gone by now
+        (rf"\b{_DAY_MONTH}($|{_NOT_W})", r"\1", "g"),
+        (_CLOCK + _MONTH_DAY, "", "g"),
+        (_CLOCK + _DAY_MONTH, "", "g"),
+        (rf"\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}{_S}+[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}[.0-9]*[+-][0-9]{{2}}:[0-9]{{2}}\b", "", "g"),
     ),
-    "norm_ips": _normalised(_replace("body", (r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "", "g"))),
-    "norm_quotes": "SELECT src_pos, CASE WHEN s = '\"' THEN '' WHEN left(s, 1) = '\"' AND right(s, 1) = '\"' THEN substr(s, 2, length(s) - 2) ELSE s END AS text "
-    f"FROM (SELECT src_pos, {_STRIPPED} AS s FROM train)",
-    "reduce_whitespace": _normalised(_replace("body", (r"[ \t]+", " ", "g"))),
+    "whitespace": ((r"[ \t]+", " ", "g"),),
+}
+
+
+def _random(text: str) -> str:
+    """Codes. A match lies in one run of the characters that codes are made of,
+    from the first place behind no word character on, to the end of the run."""
+    alnum, letter, special = "[a-zA-Z0-9]", "[a-zA-Z]", SPECIAL
+    end = SPECIAL_OR_ALNUM + "*"
+    first = rf"{alnum}*[0-9]+{letter}+{special}{end}|{alnum}*{letter}+[0-9]+{special}{end}"
+    loose = rf"{alnum}*{special}{alnum}*[0-9]{end}"
+    # as loose, with a letter in it
+    strict = rf"{alnum}*{letter}{alnum}*{special}{alnum}*[0-9]{end}|[0-9]*{special}{alnum}*{letter}{alnum}*[0-9]{end}|[0-9]*{special}[0-9]+{end}{letter}{end}"
+    # where the run goes on with a letter of another script, a match ends before a sign
+    sign = special.replace("_", "")
+    found = lambda third, rest: f"regexp_replace(before || run, {_text(f'(^|{_NOT_W})(?:{first}|{third}){rest}')}, {_text(chr(92) + '1<RANDOM>' + (chr(92) + '2' if rest != '$' else ''))})"
+    open_ended = rf"({sign}{end})$"
+    replaced = (
+        f"CASE WHEN NOT regexp_matches(run, {_text(f'^{SPECIAL_OR_ALNUM}')}) THEN run ELSE substr(CASE "
+        f"WHEN regexp_matches(behind, '^{_W}') THEN CASE WHEN regexp_matches(behind, '{letter}') THEN {found(loose, open_ended)} ELSE {found(strict, open_ended)} END "
+        f"WHEN regexp_matches(behind, '{letter}') THEN {found(loose, '$')} ELSE {found(strict, '$')} END, length(before) + 1) END"
+    )
+    runs = f"regexp_extract_all(word, {_text(SPECIAL_OR_ALNUM + '+|' + SPECIAL_OR_ALNUM.replace('[', '[^', 1) + '+')})"
+    each = _let("runs[i]", "run", _let("coalesce(right(runs[i - 1], 1), '')", "before", _let("array_to_string(runs[i + 1:], '')", "behind", replaced)))
+    word = _let(runs, "runs", f"array_to_string(list_transform(range(1, len(runs) + 1), lambda i: {each}), '')")
+    words = f"regexp_extract_all(t, {_text(f'{_NOT_S}+|{_S}+')})"
+    whole = f"array_to_string(list_transform({words}, lambda word: CASE WHEN regexp_matches(word, '^{_S}') THEN word ELSE {word} END), '')"
+    return _let(text, "t", f"CASE WHEN t IS NOT NULL THEN {whole} END")
+
+
+_LETTERS_TWICE = tuple((f"{c}{{3,}}", c * 2, "g") for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def _characters(text: str) -> str:
+    kept = f"list_filter(range(1, len(c) + 1), lambda i: i = 1 OR c[i] <> c[i - 1] OR regexp_matches(c[i], '^[a-zA-Z{_BLANKS}]$'))"
+    once = _let("string_split(t, '')", "c", f"array_to_string(list_transform({kept}, lambda i: c[i]), '')")
+    return _let(_replace(text, *_LETTERS_TWICE), "t", f"CASE WHEN t IS NOT NULL THEN {once} END")
+
+
+def _words(text: str) -> str:
+    """A word goes, with the blanks before it, if it is the one before them."""
+    again = lambda i: f"(regexp_matches(w[{i}], '^{_W}') AND lower(w[{i}]) = lower(w[{i} - 2]) AND regexp_matches(w[{i} - 1], '^{_S}+$'))"
+    kept = f"list_filter(range(1, len(w) + 1), lambda i: NOT coalesce({again('i')}, false) AND NOT coalesce({again('(i + 1)')}, false))"
+    once = _let(f"regexp_extract_all(t, '{_W}+|{_NOT_W}+')", "w", f"array_to_string(list_transform({kept}, lambda i: w[i]), '')")
+    return _let(text, "t", f"CASE WHEN t IS NOT NULL THEN {once} END")
+
+
+def _quotes(text: str) -> str:
+    bare = "CASE WHEN s = '\"' THEN '' WHEN left(s, 1) = '\"' AND right(s, 1) = '\"' THEN substr(s, 2, length(s) - 2) ELSE s END"
+    return _let(_replace(text, *_STRIP), "s", bare)
+
+
+def _step(name: str, text: str) -> str:
+    own = {"random": _random, "characters": _characters, "words": _words, "quotes": _quotes}
+    return own[name](text) if name in own else _replace(text, *_PATTERNS[name])
+
+
+def _stages(table: str, columns: tuple[str, ...], names: tuple[str, ...] = ORDER) -> str:
+    """``table`` with the steps applied to its columns, one after the other."""
+    for name in names:
+        table = f"(SELECT * REPLACE ({', '.join(f'{_step(name, c)} AS {c}' for c in columns)}) FROM {table})"
+    return table
+
+
+def _incremental(table: str) -> str:
+    """src_pos, text: the pass over text that was normalised before."""
+    shortened = f"(SELECT src_pos, body AS old, {_replace('body', (URL_WITH_DOMAIN.pattern, '<URL>', 'g'))} AS x FROM {table})"
+    protected = f"(SELECT src_pos, old, regexp_extract_all(x, '{TOKEN}') AS tokens, regexp_replace(x, '{TOKEN}', '{SLOT}', 'g') AS body FROM {shortened})"
+    split = f"(SELECT src_pos, old, tokens, string_split(body, '{SLOT}') AS parts FROM {_stages(protected, ('body',), ('random', 'characters', 'words', 'whitespace'))})"
+    back = f"list_transform(range(1, len(parts) + 1), lambda i: CASE WHEN i = 1 THEN parts[i] WHEN i - 1 <= len(tokens) THEN tokens[i - 1] || parts[i] ELSE '{SLOT}' || parts[i] END)"
+    return f"SELECT src_pos, CASE WHEN length(new) > length(old) THEN old ELSE new END AS text FROM (SELECT src_pos, old, CASE WHEN old IS NOT NULL THEN array_to_string({back}, '') END AS new FROM {split})"
+
+
+_STEP_QUERIES = {
+    "norm_urls": "urls", "norm_usernames": "usernames", "norm_emails": "emails", "norm_subreddits": "subreddits", "norm_phones": "phones", "norm_money": "money",
+    "norm_random": "random", "norm_ips": "ips", "norm_timestamps": "timestamps", "norm_quotes": "quotes", "reduce_characters": "characters", "reduce_words": "words",
+    "reduce_whitespace": "whitespace",
+}
+_WHOLE_TEXT = f"SELECT src_pos, body AS text FROM {_stages('(SELECT src_pos, body FROM train)', ('body',))}"
+
+ORACLE: dict[str, str] = {
+    **{query: _normalised(_step(name, "body")) for query, name in _STEP_QUERIES.items()},
+    "norm_text": _WHOLE_TEXT,
+    "norm_text_exact": _WHOLE_TEXT,
+    "norm_incremental": _incremental("train"),
+    "norm_columns": f"SELECT src_pos, {', '.join(TEXT_COLUMNS)} FROM {_stages('test', TEXT_COLUMNS)}",
     "strip_text": _normalised(_STRIPPED),
     "sanitize": f"SELECT src_pos, s AS text FROM (SELECT src_pos, {_STRIPPED} AS s FROM train) WHERE s <> '' AND lower(s) NOT IN ('nan', 'none')",
     "na_tokens": f"SELECT src_pos, body FROM train WHERE body IS NULL OR body IN ({', '.join(map(_text, NA_TOKENS))})",
@@ -69,26 +157,6 @@ ORACLE: dict[str, str] = {
     + ") THEN 1 END) AS n_bodies, sum(row_id)::bigint AS sum_row_id FROM test GROUP BY 1",
 }
 
-_CLOCK, _UTC = rf"\b[0-9]{{1,2}}:[0-9]{{1,2}},{_S}+", rf"{_S}+\(UTC\)"
-_MONTH_DAY, _DAY_MONTH = rf"[A-Za-z]+{_S}+[0-9]{{1,2}},{_S}+[0-9]{{4}}", rf"[0-9]{{1,2}}{_S}+[A-Za-z]+{_S}+[0-9]{{4}}"
-ORACLE["norm_timestamps"] = _normalised(
-    _replace(
-        "body",
-        *((x + _UTC, "", "g") for x in (_CLOCK + _MONTH_DAY, _CLOCK + _DAY_MONTH, rf"\b{_MONTH_DAY}", rf"\b{_DAY_MONTH}")),
-        # forms with (UTC) are gone by now
-        (rf"\b{_DAY_MONTH}($|{_NOT_W})", r"\1", "g"),
-        (_CLOCK + _MONTH_DAY, "", "g"),
-        (_CLOCK + _DAY_MONTH, "", "g"),
-        (rf"\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}{_S}+[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}[.0-9]*[+-][0-9]{{2}}:[0-9]{{2}}\b", "", "g"),
-    )
-)
-_LETTERS_TWICE = _replace("body", *((f"{c}{{3,}}", c * 2, "g") for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-ORACLE["reduce_characters"] = (
-    "SELECT src_pos, CASE WHEN s IS NULL THEN NULL ELSE array_to_string(list_transform(list_filter(range(1, len(c) + 1), "
-    f"lambda i: i = 1 OR c[i] <> c[i - 1] OR regexp_matches(c[i], '^[a-zA-Z{_BLANKS}]$')), lambda i: c[i]), '') END AS text "
-    f"FROM (SELECT src_pos, s, string_split(s, '') AS c FROM (SELECT src_pos, {_LETTERS_TWICE} AS s FROM train))"
-)
-
 _UNION = " UNION ALL ".join(
     f"SELECT {n} AS dataset, '{side}s' AS polarity, src_pos, comment_text FROM data{n}_{side}" for n in (2, 3) for side in ("positive", "negative")
 )
@@ -102,6 +170,7 @@ _SPLIT = (
     f"SELECT CASE WHEN row_number() OVER (PARTITION BY dataset, polarity ORDER BY {_SHUFFLED}, comment_text) <= "
     f"floor(count(*) OVER (PARTITION BY dataset, polarity) * 0.7::double) THEN 'train' ELSE 'holdout' END AS split, dataset, polarity, src_pos, comment_text FROM ({_CLEAN})"
 )
+_SCORE_RULES = ", ".join(map(_text, dict.fromkeys((*DATA2_SCORES, *DATA3_SCORES))))
 _SCORED = " UNION ALL ".join(
     f"SELECT '{c}' AS rule_key, {n} AS dataset, src_pos, comment_text AS text FROM data{n}_positive WHERE {c} >= 0.33 AND NOT isnan({c})"
     for n, scores in ((2, DATA2_SCORES), (3, DATA3_SCORES))
@@ -162,21 +231,82 @@ def _score_pools(rows: str) -> str:
     )
 
 
+def _negatives_report(pools: str) -> str:
+    return (
+        f"WITH p AS ({pools}), e AS (SELECT text, count(DISTINCT rule) AS n FROM p WHERE polarity = 'negatives' GROUP BY text), "
+        "r AS (SELECT count(DISTINCT rule) AS n FROM p) SELECT (SELECT n FROM r) <= 1 OR count(*) = 0 OR min(n) = (SELECT n FROM r) AS fully_shared, "
+        "(SELECT n FROM r) <= 1 OR max(n) = (SELECT n FROM r) AS partially_shared, count(*) AS total_unique, (SELECT n FROM r) AS n_rules FROM e"
+    )
+
+
 _TRAIN = _grouped("train", True)
 _PLAIN = _grouped("train", False)
 _WHOLE = _score_pools(f"SELECT *, 'all' AS split FROM ({_UNION})")
-_SOME_TEST = "(SELECT * FROM test WHERE src_pos % 2 = 0 OR rule NOT LIKE '%No %')"
 
-_DRAWS = (
-    "SELECT t.*, v.variant, CASE WHEN v.variant = 0 THEN 'positives' ELSE 'negatives' END AS polarity, row_number() OVER (PARTITION BY trim(t.rule), v.variant "
-    "ORDER BY t.src_pos) - 1 AS draw FROM test t, (SELECT unnest([0, 1])::int AS variant) v"
-)
-_POOL = _grouped("test", False)
-_SUPPORTED = (
-    f"WITH pool AS ({_POOL}), sizes AS (SELECT rule, polarity, count(*) AS n FROM pool GROUP BY 1, 2) "
-    "SELECT d.*, CASE d.polarity WHEN 'positives' THEN 1 ELSE 0 END AS support_label, p.pos AS support_pos, p.text AS support "
-    f"FROM ({_DRAWS}) d LEFT JOIN sizes s ON s.rule = trim(d.rule) AND s.polarity = d.polarity "
-    "LEFT JOIN pool p ON p.rule = s.rule AND p.polarity = s.polarity AND p.pos = d.draw % s.n"
+def _choice(n: str, *parts: str, seed: int = 42) -> str:
+    return f"(('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(parts)})), 1, 12))::bigint % {n})"
+
+
+def _supported(table: str = "test") -> str:
+    draws = (
+        "SELECT t.*, v.variant, CASE WHEN v.variant = 0 THEN 'positives' ELSE 'negatives' END AS polarity, row_number() OVER (PARTITION BY trim(t.rule), v.variant "
+        f"ORDER BY t.src_pos) - 1 AS draw FROM {table} t, (SELECT unnest([0, 1])::int AS variant) v"
+    )
+    return (
+        f"WITH pool AS ({_grouped(table, False)}), sizes AS (SELECT rule, polarity, count(*) AS n FROM pool GROUP BY 1, 2) "
+        "SELECT d.*, CASE d.polarity WHEN 'positives' THEN 1 ELSE 0 END AS support_label, p.pos AS support_pos, p.text AS support "
+        f"FROM ({draws}) d LEFT JOIN sizes s ON s.rule = trim(d.rule) AND s.polarity = d.polarity "
+        "LEFT JOIN pool p ON p.rule = s.rule AND p.polarity = s.polarity AND p.pos = d.draw % s.n"
+    )
+
+
+def _reshuffled(rows: str, pool: str, order: str, seed: int) -> str:
+    """``rows`` (a rule named r, polarity) with the item that each gets if every
+    round through a pool has an order of its own."""
+    return (
+        f"WITH pool AS ({pool}), sizes AS (SELECT rule, polarity, count(*) AS n FROM pool GROUP BY 1, 2), "
+        f"drawn AS (SELECT *, row_number() OVER (PARTITION BY r, polarity ORDER BY {order}) - 1 AS draw FROM ({rows})), "
+        "sized AS (SELECT d.*, d.draw // s.n AS epoch, d.draw % s.n AS place FROM drawn d LEFT JOIN sizes s ON s.rule = d.r AND s.polarity = d.polarity), "
+        "rounds AS (SELECT DISTINCT r, polarity, epoch FROM sized WHERE epoch IS NOT NULL), "
+        "placed AS (SELECT e.r, e.polarity, e.epoch, p.pos, p.text, row_number() OVER (PARTITION BY e.r, e.polarity, e.epoch "
+        f"ORDER BY md5(concat_ws(':', '{seed}', e.r, e.polarity, e.epoch, p.pos)), p.pos) - 1 AS place "
+        "FROM rounds e JOIN pool p ON p.rule = e.r AND p.polarity = e.polarity) "
+        "SELECT z.*, p.pos AS support_pos, p.text AS support FROM sized z LEFT JOIN placed p ON p.r = z.r AND p.polarity = z.polarity AND p.epoch = z.epoch AND p.place = z.place"
+    )
+
+
+def _side(label: str) -> str:
+    return f"CASE {label} WHEN 1 THEN 'positives' ELSE 'negatives' END"
+
+
+def _samples(n: int) -> str:
+    """An epoch's samples from the pools of the training table, split."""
+    split = f"SELECT split, rule, polarity, text, row_number() OVER (PARTITION BY split, rule, polarity ORDER BY text NULLS FIRST) - 1 AS pos FROM ({_split_pools(_TRAIN)})"
+    drawn = (
+        f"SELECT i AS sample_id, {_choice('(SELECT count(*) FROM rules)', _text('rule'), 'i')} AS rule_no, {_choice('2', _text('train'), 'i')}::int AS label_train, "
+        f"{_choice('2', _text('test'), 'i')}::int AS label_test FROM (SELECT unnest(range({n})) AS i)"
+    )
+    ruled = f"SELECT s.sample_id, s.label_train, s.label_test, u.rule AS r, {_side('s.label_train')} AS polarity FROM ({drawn}) s JOIN rules u ON u.rule_no = s.rule_no"
+    order = "md5(concat_ws(':', '42', 'holdout', rule, polarity, pos)), pos"
+    held = f"SELECT rule, polarity, text, row_number() OVER (PARTITION BY rule, polarity ORDER BY {order}) - 1 AS pos FROM split WHERE split = 'holdout'"
+    forms = "[rule, lower(rule), upper(rule), 'Please note: ' || rule, rule || '!']"
+    return (
+        f"WITH split AS ({split}), rules AS (SELECT rule, row_number() OVER (ORDER BY rule) - 1 AS rule_no FROM (SELECT DISTINCT rule FROM split WHERE split = 'train')), "
+        f"one AS ({_reshuffled(ruled, 'SELECT rule, polarity, pos, text FROM split WHERE split = ' + _text('train'), 'sample_id', 42)}), "
+        f"held AS ({held}), held_sizes AS (SELECT rule, polarity, count(*) AS n FROM held GROUP BY 1, 2), "
+        f"two AS (SELECT sample_id, r, label_train, label_test, support, {_side('label_test')} AS polarity, row_number() OVER (PARTITION BY r, label_test ORDER BY sample_id) - 1 AS draw FROM one), "
+        f"variants AS (SELECT rule, {forms} AS forms FROM (SELECT DISTINCT trim(rule) AS rule FROM train WHERE rule IS NOT NULL)) "
+        "SELECT t.sample_id, t.r AS rule, t.label_train, t.label_test, h.pos AS idx, "
+        f"coalesce(v.forms[{_choice('coalesce(len(v.forms), 1)', _text('variant'), 't.sample_id')} + 1], t.r) AS rule_text, t.support, h.text AS target "
+        "FROM two t LEFT JOIN held_sizes s ON s.rule = t.r AND s.polarity = t.polarity LEFT JOIN held h ON h.rule = s.rule AND h.polarity = s.polarity AND h.pos = t.draw % s.n "
+        "LEFT JOIN variants v ON v.rule = t.r"
+    )
+
+
+_SUPPORTED = _supported()
+_FLIPPED = (
+    f"SELECT t.src_pos, t.row_id, trim(t.rule) AS r, v.variant, CASE WHEN v.variant = {_choice('2', 't.row_id', 't.src_pos', seed=7)} THEN 'positives' ELSE 'negatives' END AS polarity "
+    "FROM test t, (SELECT unnest([0, 1])::int AS variant) v"
 )
 _ANSWER = "CASE support_label WHEN 1 THEN 'Violation: Yes' ELSE 'Violation: No' END || chr(10)"
 _BEFORE = f"{_text(HEADER[:-1])} || chr(10) || 'Rule: ' || rule || chr(10) || '{COMMENT}' || support || chr(10)"
@@ -196,7 +326,7 @@ ORACLE |= {
     "rule_pool_refs": "SELECT d.rule_key, d.rule, p.polarity, p.pool_id, coalesce(n.n, 0) AS n_items FROM rule_def d, "
     "LATERAL (SELECT 'positives' AS polarity, d.rule_key || '/positives' AS pool_id UNION ALL SELECT 'negatives', 'shared/negatives') p "
     f"LEFT JOIN (SELECT pool_id, count(*) AS n FROM ({_ITEMS}) GROUP BY 1) n ON n.pool_id = p.pool_id "
-    f"WHERE d.rule_key IN ({', '.join(map(_text, dict.fromkeys((*DATA2_SCORES, *DATA3_SCORES))))})",
+    f"WHERE d.rule_key IN ({_SCORE_RULES})",
     "group_by_rule": _TRAIN,
     "group_by_rule_merged": _grouped("train", False, "merge"),
     "grouped_split": _split_pools(_TRAIN),
@@ -208,19 +338,24 @@ ORACLE |= {
         f"SELECT rule, polarity, text FROM ({_WHOLE}) WHERE polarity = 'positives' UNION ALL "
         f"SELECT DISTINCT rule, polarity, text FROM ({_WHOLE}) WHERE polarity = 'negatives' AND text <> ''"
     ),
-    "combine_rules": f"WITH two AS ({_grouped(_SOME_TEST, False)}) SELECT * FROM ({_PLAIN}) WHERE rule NOT IN (SELECT rule FROM two) UNION ALL SELECT * FROM two",
+    "combine_rules": f"WITH two AS ({_grouped('test', False)}) SELECT * FROM ({_PLAIN}) WHERE rule NOT IN (SELECT rule FROM two) UNION ALL SELECT * FROM two",
     "pool_stats": f"SELECT rule, count(*) FILTER (polarity = 'positives') AS n_positives, count(*) FILTER (polarity = 'negatives') AS n_negatives, "
     f"count(DISTINCT CASE polarity WHEN 'negatives' THEN text END) AS n_unique_negatives FROM ({_TRAIN}) GROUP BY ROLLUP (rule)",
-    "shared_negatives": f"WITH p AS ({_PLAIN}), e AS (SELECT text, count(DISTINCT rule) AS n FROM p WHERE polarity = 'negatives' GROUP BY text), "
-    "r AS (SELECT count(DISTINCT rule) AS n FROM p) SELECT (SELECT n FROM r) <= 1 OR count(*) = 0 OR min(n) = (SELECT n FROM r) AS fully_shared, "
-    "(SELECT n FROM r) <= 1 OR max(n) = (SELECT n FROM r) AS partially_shared, count(*) AS total_unique, (SELECT n FROM r) AS n_rules FROM e",
-    "shared_negatives_of_scores": f"SELECT true AS fully_shared, true AS partially_shared, (SELECT count(*) FROM (SELECT DISTINCT comment_text FROM ({_UNION}) "
-    "WHERE polarity = 'negatives')) AS total_unique, (SELECT count(*) FROM rule_def) AS n_rules",
-    "unique_negatives": f"SELECT rule, count(DISTINCT coalesce(text, '')) AS unique_count FROM ({_PLAIN}) WHERE polarity = 'negatives' GROUP BY 1",
+    "shared_negatives": _negatives_report(_PLAIN),
+    "shared_negatives_of_scores": _negatives_report(
+        f"SELECT d.rule, 'positives' AS polarity, s.text FROM ({_SCORED}) s JOIN rule_def d ON d.rule_key = s.rule_key UNION ALL "
+        f"SELECT d.rule, 'negatives', u.comment_text FROM rule_def d, ({_UNION}) u WHERE u.polarity = 'negatives' AND d.rule_key IN ({_SCORE_RULES})"
+    ),
+    "unique_negatives": f"SELECT rule, count(DISTINCT text) + max((text IS NULL)::int) AS unique_count FROM ({_PLAIN}) WHERE polarity = 'negatives' GROUP BY 1",
     "clean_negatives": f"SELECT DISTINCT text FROM ({_PLAIN}) WHERE polarity = 'negatives' AND text <> ''",
     "expand_rows": "SELECT src_pos, row_id, variant, CASE variant WHEN 0 THEN 'positives' ELSE 'negatives' END AS polarity "
     "FROM test, (SELECT unnest([0, 1])::int AS variant)",
     "support_sampler": f"SELECT src_pos, row_id, variant, support_label, support_pos, support FROM ({_SUPPORTED})",
+    "support_sampler_reshuffled": "SELECT src_pos, row_id, variant, CASE polarity WHEN 'positives' THEN 1 ELSE 0 END AS support_label, support_pos "
+    f"FROM ({_reshuffled(_FLIPPED, _grouped('test', False), 'src_pos, variant', 7)})",
+    "training_samples": _samples(2000),
+    "score_comments": f"WITH clean AS (SELECT * FROM {_stages('test', TEXT_COLUMNS)}), sized AS (SELECT row_id, variant, coalesce(length({_PROMPT}), 0) AS n FROM ({_supported('clean')})) "
+    "SELECT row_id, round(avg((n % 97) / 100.0::double) - avg(n / 1000.0::double), 6) AS rule_violation FROM sized GROUP BY row_id",
     "prompt_build": f"SELECT row_id, src_pos, variant, support_label, {_PROMPT} AS prompt FROM ({_SUPPORTED})",
     "violation_positions": f"SELECT src_pos, variant, strlen({_BEFORE} || '{VIOLATION}') - 1 AS first_end, strlen({_PROMPT}) - 1 AS second_end FROM ({_SUPPORTED})",
 }
@@ -233,22 +368,20 @@ _LOGITS = (
     "FROM flat GROUP BY vec_id), "
     "scores AS (SELECT row_id, avg(logit_yes) - avg(logit_no) AS margin FROM logits GROUP BY row_id), "
     "truth AS (SELECT vec_id // 2 AS row_id, (label > 4)::int AS label FROM embeddings WHERE vec_id % 2 = 0), "
-    "known AS (SELECT t.row_id, t.label, round(s.margin, 2) + 0.0 AS score FROM truth t LEFT JOIN scores s ON s.row_id = t.row_id AND s.row_id % 7 <> 0), "
+    "known AS (SELECT t.row_id, t.label, round(s.margin, 2) + 0.0 AS score FROM truth t LEFT JOIN scores s ON s.row_id = t.row_id), "
     "loss AS (SELECT *, greatest(logit_no, logit_yes) + ln(1 + exp(-abs(logit_yes - logit_no))) - 0.9 * CASE variant WHEN 1 THEN logit_yes ELSE logit_no END "
     "- 0.05 * (logit_no + logit_yes) AS loss FROM logits) "
 )
 
 ORACLE |= {
-    "embedding_gather": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS new_id, len(embedding) AS dims, "
-    "round((SELECT sum(x::double) FROM unnest(embedding) AS u(x)), 5) AS total FROM embeddings WHERE label < 5",
     "mean_embedding": "SELECT i AS dim, round(avg(x), 6) AS mean FROM (SELECT unnest(embedding)::double AS x, unnest(range(len(embedding)))::int AS i FROM embeddings) GROUP BY i",
     "linear_head": _LOGITS + "SELECT vec_id, class_id, round(logit, 5) AS logit FROM flat",
     "logit_bags": _LOGITS + "SELECT row_id, count(*) AS n_variants, round(max_by(logit_yes, variant), 5) AS last_yes FROM logits GROUP BY row_id",
     "margin_by_row": _LOGITS + "SELECT row_id, round(margin, 5) AS rule_violation FROM scores",
     "best_margin_by_row": _LOGITS + "SELECT row_id, round(max(logit_yes - logit_no), 5) AS rule_violation FROM logits GROUP BY row_id",
     "submission": _LOGITS + "SELECT row_id, round(margin, 5) AS rule_violation FROM scores",
-    "merge_predictions": _LOGITS + ", two AS (SELECT * FROM logits WHERE row_id % 2 = 0 AND variant = 0) SELECT row_id, variant, round(logit_yes, 5) AS logit_yes FROM "
-    "(SELECT * FROM logits WHERE row_id % 3 <> 0 AND row_id NOT IN (SELECT row_id FROM two) UNION ALL SELECT * FROM two)",
+    # the two halves have no row in common: all rows, each once
+    "merge_predictions": _LOGITS + "SELECT row_id, variant, round(logit_yes, 5) AS logit_yes FROM logits",
     "eval_join": _LOGITS + "SELECT row_id, label, score FROM known",
     "roc_auc": _LOGITS + ", ranked AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM known WHERE score IS NOT NULL) "
     "SELECT round(((sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / "
@@ -269,6 +402,8 @@ def _bytes(table: str, column: str) -> str:
 _PROMPT_BYTES = f"SELECT src_pos, variant, unnest(range(1, strlen(p) + 1)) AS i, hex(encode(p)) AS h FROM (SELECT src_pos, variant, {_PROMPT} AS p FROM ({_SUPPORTED})) WHERE p IS NOT NULL"
 
 ORACLE |= {
+    "embedding_gather": f"WITH v AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM (SELECT DISTINCT id FROM ({_bytes('train', 'body')}))) "
+    "SELECT v.new_id, len(e.embedding) AS dims, round((SELECT sum(x::double) FROM unnest(e.embedding) AS u(x)), 5) AS total FROM v JOIN embeddings e ON e.vec_id = v.id",
     "token_vocab": f"SELECT DISTINCT id AS old_id FROM ({_bytes('train', 'body')})",
     "vocab_map": f"SELECT old_id, row_number() OVER (ORDER BY old_id) - 1 AS new_id FROM (SELECT DISTINCT id AS old_id FROM ({_bytes('train', 'body')}))",
     "vocab_remap": f"WITH v AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM (SELECT DISTINCT id FROM ({_bytes('data2_positive', 'comment_text')}))) "
