@@ -21,8 +21,8 @@ def _texts(spark: SparkSession, at: str, **columns: str) -> DataFrame:
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def _copies(spark: SparkSession, at: str) -> Copies:
-    return formatting_copies(_texts(spark, at, train="body", data3_positive="comment_text"), id_col="src_pos", text_col="text", group_col="tbl")
+def _copies(spark: SparkSession, at: str, **options: int) -> Copies:
+    return formatting_copies(_texts(spark, at, train="body", data3_positive="comment_text"), id_col="src_pos", text_col="text", group_col="tbl", **options)
 
 
 def p1_found(spark: SparkSession, at: str) -> DataFrame:
@@ -31,8 +31,9 @@ def p1_found(spark: SparkSession, at: str) -> DataFrame:
 
 
 def p1_collapsed(spark: SparkSession, at: str) -> DataFrame:
-    """Every comment once, with its number of copies."""
-    return _copies(spark, at).collapsed().select(F.col("grp").alias("tbl"), F.col("id").alias("src_pos"), "copies")
+    """Every comment once, with its number of copies, however short. Rows without
+    text stay as they are; blank ones are one comment."""
+    return _copies(spark, at, min_words=0).collapsed().select(F.col("grp").alias("tbl"), F.col("id").alias("src_pos"), "copies")
 
 
 def _consistent(spark: SparkSession, at: str) -> DataFrame:

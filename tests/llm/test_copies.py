@@ -76,3 +76,35 @@ def test_clashing_columns(spark):
     got = formatting_copies(df, id_col="id", text_col="text", group_col="grp")
     assert [tuple(r) for r in got.copies.collect()] == [("a", 1, 2)]
     assert clean("ok") == "ok"
+
+
+@pytest.mark.parametrize("width", ["1", "7"])
+def test_no_two_comments_of_one_text_remain(spark, sf, width):
+    """Counts over whole tables equal those of the keys, across partitions."""
+    from collections import Counter
+
+    import pandas as pd
+
+    from tallyloom.llm.exact_copies import LABELS, _label_pattern, canonical_key
+    from tallyloom.llm.queries import QUERIES
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        got = QUERIES["p1_collapsed"](spark, sf).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want, first = Counter(), {}
+    for tbl, column in (("train", "body"), ("data3_positive", "comment_text")):
+        for k, text in pd.read_parquet(f"{sf}/{tbl}.parquet").set_index("src_pos")[column].sort_index().items():
+            key = (tbl, k) if text is None else (tbl, canonical_key(text, _label_pattern(LABELS), 0))
+            want[key] += 1
+            first.setdefault(key, (tbl, k))
+    assert sorted(zip(got.tbl, got.src_pos, got.copies, strict=True)) == sorted((*first[k], n) for k, n in want.items())
+    assert got.copies.max() > 1
+
+
+def test_short_and_wordless_texts(spark):
+    data = [("a", 1, "ok"), ("a", 2, "OK!"), ("a", 3, "!!!"), ("a", 4, "! !!"), ("a", 5, "???"), ("a", 6, ""), ("a", 7, " \n"), ("a", 8, None), ("a", 9, None), ("a", 2, "OK!")]
+    got = formatting_copies(spark.createDataFrame(data, "grp string, id long, text string"), id_col="id", text_col="text", group_col="grp", min_words=0)
+    assert sorted(tuple(r)[1:] for r in got.collapsed().collect()) == [(1, 2), (3, 2), (5, 1), (6, 2), (8, 1), (9, 1)]
