@@ -4,7 +4,8 @@ From documents that people have graded, pairs of different grade are made; a
 linear model of syntax and vocabulary features learns which of the two is the
 more demanding. Its scores become grades by isotonic regression: the mean
 grade at a score, made to rise with the score. All documents are then scored.
-Every feature is of the whole text.
+Every feature is of the whole text; those that have no bound grow by root or
+logarithm, so that a text without full stops doesn't outweigh all others.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ _STOP = re.compile(r"[.!?]+(?:\s|$)|\n{2,}")
 _VOWELS = re.compile(r"[aeiouyáéíóúàèìòùâêîôûäëïöüœæ]+")
 _OPENS_CLAUSE = frozenset(SUBORDINATE).__contains__
 FEATURES = (
-    "words per sentence", "log words per sentence", "letters per word", "syllables per word", "words of 9 letters", "words of 7 letters", "words of 12 letters",
-    "words of 3 letters or fewer", "commas and semicolons per sentence", "clauses per sentence", "different words", "spread of word length",
+    "root of words per sentence", "log words per sentence", "letters per word", "syllables per word", "words of 9 letters", "words of 7 letters", "words of 12 letters",
+    "words of 3 letters or fewer", "log commas and semicolons per sentence", "log clauses per sentence", "different words", "spread of word length",
 )
 
 
@@ -69,8 +70,8 @@ def features(text: str | None) -> list[float] | None:
     share = lambda a, b=None: int(sizes[a:b].sum()) / n
     per = n / sentences
     return [
-        min(per, 80.0), math.log1p(per), mean, len(_VOWELS.findall(low)) / n, share(9), share(7), share(12), share(0, 4),
-        min((low.count(",") + low.count(";")) / sentences, 10.0), min(sum(map(_OPENS_CLAUSE, words)) / sentences, 10.0),
+        math.sqrt(per), math.log1p(per), mean, len(_VOWELS.findall(low)) / n, share(9), share(7), share(12), share(0, 4),
+        math.log1p((low.count(",") + low.count(";")) / sentences), math.log1p(sum(map(_OPENS_CLAUSE, words)) / sentences),
         _different(words), spread,
     ]
 
@@ -141,12 +142,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_ranker(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, grade_col: str, seed: int = 42, most: int = MOST_LABELS) -> Ranker:
     """Fit on at most ``most`` graded documents; a document's grade is the
     mean of its raters'. Labels without a document, and documents without
-    words, are left out."""
+    words, are left out; a document delivered twice counts once."""
     grades = labels.where(F.col(grade_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(grade_col).alias("grade"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # at most ``most`` ids and grades
     chosen = grades.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most)
-    rows = [r for r in texts.join(F.broadcast(chosen), "id").mapInArrow(_features, "id long, grade double, x array<double>").collect() if r.x]
+    graded = texts.join(F.broadcast(chosen), "id").groupBy("id", "grade").agg(F.min("text").alias("text"))
+    rows = [r for r in graded.mapInArrow(_features, "id long, grade double, x array<double>").collect() if r.x]
     if len({r.grade for r in rows}) < 2:
         raise ValueError("two graded documents of different grade are needed")
     rows.sort(key=lambda r: r.id)
@@ -154,8 +156,9 @@ def fit_ranker(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str
 
 
 def reading_levels(docs: DataFrame, ranker: Ranker, *, id_col: str, text_col: str) -> DataFrame:
-    """id_col, level: the estimate for every document, on the scale of the
-    grades; null for null texts and texts without words."""
+    """id_col, level: the estimate for every row, on the scale of the grades;
+    null for null texts and texts without words. A row that comes twice has
+    two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
