@@ -118,11 +118,15 @@ def mix_sources(
     target_share of that, by repeating its documents at most max_repeats times.
     What a source can't give is not made up for by others. Sources are compared
     without case and outer blanks; documents without a source, with one that a
-    mix doesn't name, or without tokens are in no mix. A target without a
+    mix doesn't name, or without tokens are in no mix. Of a document that comes
+    several times one counts: with a source, then the first of these, then the
+    longest. Rows without an id are one document. A target without a
     share above 0 and max_repeats of 1 or more gives nothing.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), _plain_source(source_col).alias("source"), F.col(text_col).alias("text"))
-    sizes = materialise(token_counts(rows, "text", vocabulary), "sizes")
+    counted = token_counts(rows, "text", vocabulary)
+    once = counted.groupBy("doc_id").agg(F.min(F.struct(F.col("source").isNull().alias("unknown"), "source", (-F.col("tokens")).alias("less"))).alias("x"))
+    sizes = materialise(once.select("doc_id", "x.source", (-F.col("x.less")).alias("tokens")), "sizes")
     supply = sizes.groupBy("source").agg(F.sum("tokens").alias("supply"))
     every = sizes.agg(F.sum("tokens")).first()[0] or 0
     wanted = (

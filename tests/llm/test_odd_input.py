@@ -37,7 +37,7 @@ def test_overlap(odd):
 
 
 def test_forms(odd):
-    got = {(r.grp, r.id): r for r in lookalikes.consistent_form(odd.distinct(), id_col="id", text_col="text", group_col="grp").collect()}
+    got = {(r.grp, r.id): r for r in lookalikes.consistent_form(odd, id_col="id", text_col="text", group_col="grp").collect()}
     assert got["a", 1].text == LONG.replace("е", "e")
     assert got["a", 1].variants == lookalikes.LOOK
     assert (got["a", 3].text, got["a", 4].text, got["", 5].text) == (None, "", "short")
@@ -59,16 +59,18 @@ def test_leaks(spark, odd):
 
 
 def test_mix(spark, odd):
-    docs = odd.where("id is not null").dropDuplicates(["id"])
+    docs = odd.where("id is not null")  # id 1 comes three times, once in another group
     targets = spark.createDataFrame([("m", "S", 1.0, 1, 1.0, "z"), (None, "s", 1.0, 1, 1.0, "z"), ("m", None, 1.0, 1, 1.0, "z")], "mix_name string, source string, target_share double, max_repeats int, size_factor double, supply string")
     got = source_mix.mix_sources(docs, targets, id_col="id", text_col="text", source_col="source")
     assert sorted(r.doc_id for r in got.items.collect()) == [1, 2, 5]
+    assert got.shares.first().actual_share == 1.0
 
 
 def test_levels(spark, odd):
     labels = spark.createDataFrame([(1, 9, "t"), (5, 2, "t")], "id long, grade int, text string")
-    docs = odd.where("id is not null").dropDuplicates(["id"])
+    docs = odd.where("id is not null")
     ranker = reading_level.fit_ranker(docs, labels, id_col="id", text_col="text", grade_col="grade")
     got = {r.id: r.level for r in reading_level.reading_levels(docs, ranker, id_col="id", text_col="text").collect()}
     assert set(got) == {1, 2, 3, 4, 5}
+    assert reading_level.reading_levels(docs, ranker, id_col="id", text_col="text").count() == docs.count()
     assert (got[3], got[4]) == (None, None)
