@@ -3,11 +3,9 @@
 The words that the corpus spells plainly, with their counts, are the
 vocabulary. A word written with other characters is run through a trie of the
 vocabulary by a weighted edit automaton: look-alike letters, compatibility
-forms and ignorable characters cost nothing, an accent more or less costs one.
-``consistent_form`` accepts readings without cost only (``spelling`` can allow
-more): a word that is an accent off the vocabulary isn't corrected. Of the
-accepted spellings the most frequent is taken; words without one are normalised
-by table. Vocabulary and words meet by their skeleton, in which all
+forms and ignorable characters cost nothing, an accent more or less costs
+``ACCENT``. Spellings up to ``MOST_COST`` are accepted: the cheapest, and of these
+the most frequent; words without one are normalised by table. Vocabulary and words meet by their skeleton, in which all
 look-alikes are one letter, so that each trie is small and no task holds the
 whole vocabulary.
 """
@@ -17,6 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,6 +31,12 @@ COMPATIBILITY, DECOMPOSED, INVISIBLE, SPACE, LOOK = 1, 2, 4, 8, 16
 # Letters and digits that look-alikes stand for in more than one way.
 AMBIGUOUS = {"ӏ": "li", "Ӏ": "Il", "Ι": "Il", "І": "Il", "ν": "v", "ο": "o", "о": "o", "О": "O", "Ο": "O"}
 
+#: What an accent more or less costs, and what the readings of a word may cost.
+ACCENT, MOST_COST = 1, 1
+
+#: Bytes of looked-up words and their forms that every task gets a copy of.
+MOST_FORMS = 32_000_000
+
 _EMOJI = "←-⯿〰〽㊗㊙️\U0001f000-\U0001faff"
 _STRAY_JOINER = re.compile(f"(?<![{_EMOJI}])‍|‍(?![{_EMOJI}])")
 _DROP = {ord(c): None for c in ZERO_WIDTH if c != "‍"}
@@ -68,12 +73,17 @@ def _readings(c: str) -> list[tuple[str, int]]:
     out = [(wide.lower(), 0)]
     if c in LOOK_ALIKE:
         out += [(x.lower(), 0) for x in AMBIGUOUS.get(c, LOOK_ALIKE[c])]
-    bare = "".join(x for x in unicodedata.normalize("NFD", wide) if not unicodedata.combining(x)).lower()
-    if bare != wide.lower():
-        out.append((bare, 1))
+    if _bare(wide) != wide.lower():
+        out.append((_bare(wide), ACCENT))
     return list(dict.fromkeys(out))
 
 
+@lru_cache(maxsize=10_000)
+def _bare(c: str) -> str:
+    """Without accents, in lower case."""
+    return "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x)).lower()
+
+
 def trie(vocabulary: list[tuple[str, int]]) -> dict:
     root: dict = {}
     for word, n in vocabulary:
@@ -84,6 +94,23 @@ def trie(vocabulary: list[tuple[str, int]]) -> dict:
     return root
 
 
+def _steps(node: dict, reading: str) -> Iterator[tuple[dict, int]]:
+    """Where a reading leads to, and by which cost: the vocabulary may have an
+    accent where it has none."""
+    if not reading:
+        yield node, 0
+        return
+    for c, to in node.items():
+        if c and c == reading[0]:
+            cost = 0
+        elif c and _bare(c) == reading[0]:
+            cost = ACCENT
+        else:
+            continue
+        for end, more in _steps(to, reading[1:]):
+            yield end, cost + more
+
+
 def spelling(root: dict, token: str, most: int = 0) -> str | None:
     """The vocabulary's spelling of a token: the cheapest, then the most
     frequent, then the first in the alphabet. None if all cost over ``most``."""
@@ -93,14 +120,11 @@ def spelling(root: dict, token: str, most: int = 0) -> str | None:
         after: dict[int, tuple[dict, int]] = {}
         readings = _readings(c)
         for node, cost in states:
-            for reading, more in readings:
-                to = node
-                for x in reading:
-                    to = to.get(x)
-                    if to is None:
-                        break
-                if to is not None and cost + more <= most and (id(to) not in after or after[id(to)][1] > cost + more):
-                    after[id(to)] = (to, cost + more)
+            for reading, own in readings:
+                for to, step in _steps(node, reading):
+                    all_ = cost + own + step
+                    if all_ <= most and (id(to) not in after or after[id(to)][1] > all_):
+                        after[id(to)] = (to, all_)
         states = list(after.values())
     ends = [(cost, -node[""][0], node[""][1]) for node, cost in states if "" in node]
     return min(ends)[2] if ends else None
@@ -203,7 +227,7 @@ def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root = trie(vocabulary) if root is None else root
             table = by_table(word)
             # a word with letters that no Latin word has stays as it is written
-            found = spelling(root, word) if is_disguised(unicodedata.normalize("NFKC", word.translate(_DROP_ALL))) or table.lower() != word.lower() else None
+            found = spelling(root, word, MOST_COST) if is_disguised(unicodedata.normalize("NFKC", word.translate(_DROP_ALL))) or table.lower() != word.lower() else None
             tokens.append(word)
             forms.append(table if found is None else _in_case(found, table))
         yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(forms, pa.string())], ["word", "form"])
@@ -225,7 +249,8 @@ def consistent_form(df: DataFrame, *, id_col: str, text_col: str, group_col: str
     """grp, id, text, variants: every row's text in its one consistent form,
     and the kinds of variants it held before (bits; 0: none).
 
-    (group, id) identifies a row. Null texts stay null; empty texts and texts
+    (group, id) identifies a text; every row comes out, also one that is delivered
+    twice. Null texts stay null; empty texts and texts
     without variants stay as they are. Other columns are ignored.
     """
     group = F.lit("") if group_col is None else F.col(group_col) if isinstance(group_col, str) else group_col
@@ -241,6 +266,10 @@ def consistent_form(df: DataFrame, *, id_col: str, text_col: str, group_col: str
         .sortWithinPartitions("skeleton", F.col("n").isNull())
         .mapInArrow(_spell, "word string, form string")
     )
+    # disguised words are few, one of them may stand in any part of the texts
+    forms = materialise(forms, "forms")
+    held = forms.agg(F.sum(F.octet_length("word") + F.octet_length("form"))).first()[0] or 0
+    forms = F.broadcast(forms) if held <= MOST_FORMS else forms
     per_row = (
         found.where("kind = 1").select("grp", "id", "word").join(forms, "word").groupBy("grp", "id").agg(F.collect_list(F.struct("word", "form")).alias("pairs"))
     )

@@ -60,6 +60,25 @@ def test_trie_costs():
     assert L.spelling({}, "x") is None
 
 
+def test_weights_choose_between_accents(spark):
+    """The cheapest spelling, an accent more or less at most; without one, the table."""
+    root = L.trie([("cafe", 9), ("naïve", 3), ("resume", 4), ("résume", 9)])
+    assert L.spelling(root, "naive", most=1) == "naïve"
+    assert L.spelling(root, "naive") is None
+    assert L.spelling(root, "résumé", most=1) == "résume"
+    assert L.spelling(root, "résumé", most=2) == "résume"
+    got = consistent(spark, ["a cafe, naïve words", "a сafé", "a nаive word", "а сréе"])
+    assert [got[k][0] for k in range(4)] == ["a cafe, naïve words", "a cafe", "a naïve word", "a crée"]
+
+
+@pytest.mark.parametrize("most", [L.MOST_FORMS, 0])
+def test_rows_that_come_twice(spark, monkeypatch, most):
+    monkeypatch.setattr(L, "MOST_FORMS", most)
+    data = [("g", 1, "сode"), ("g", 1, "сode"), ("g", 2, "plain"), ("g", 2, "plain")]
+    got = L.consistent_form(spark.createDataFrame(data, SCHEMA), id_col="id", text_col="text", group_col="grp")
+    assert sorted((r.id, r.text) for r in got.collect()) == [(1, "code"), (1, "code"), (2, "plain"), (2, "plain")]
+
+
 def test_consistent_form_is_idempotent(spark, sf):
     df = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/train.parquet")
     once = L.consistent_form(df, id_col="src_pos", text_col="body")
