@@ -3,8 +3,8 @@
 The corpus is cut into shards of whole documents. Each shard's words become
 numbers, its suffixes are sorted, and every suffix of every item is looked up
 by binary search. Where at least ``min_words`` words agree, the match is
-followed to its full length. Items are held in blocks of a fixed size, so the
-number of items is not limited by memory: each block is one pass.
+followed to its full length. Items are packed into blocks by their running size,
+so the number of items is not limited by memory: each block is one pass.
 """
 
 from __future__ import annotations
@@ -17,22 +17,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.textform import words
+from tallyloom.operators.ordering import running_total
 from tallyloom.storage import materialise
 
-#: Characters of item text that are sent to every task at a time.
+#: Characters of item text that are sent to every task at a time; the item that
+#: reaches them is sent whole.
 BLOCK_CHARS = 8_000_000
 #: Words of a shard, and characters of text that are split into words at a time.
 SHARD_WORDS, SLICE_CHARS = 3_000_000, 1_000_000
-#: Words that are packed into one number; fewer words than 2**21 are told apart.
-PACK, WORD_BITS = 3, 21
+#: Most words that are packed into one number of 63 bits.
+PACK = 3
 
 
-def _packed(ids: np.ndarray) -> np.ndarray:
-    """Each place's word and the two behind it as one number."""
-    wide = np.concatenate([ids.astype(np.int64), np.zeros(PACK, np.int64)])
+def _pack(different: int) -> int:
+    """How many words of so many different ones a number can hold."""
+    return PACK if different < 1 << 63 // PACK else 2
+
+
+def _packed(ids: np.ndarray, pack: int) -> np.ndarray:
+    """Each place's word and those behind it as one number."""
+    wide = np.concatenate([ids.astype(np.int64), np.zeros(pack, np.int64)])
     out = wide[: len(ids)].copy()
-    for x in range(1, PACK):
-        out = (out << WORD_BITS) | wide[x : x + len(ids)]
+    for x in range(1, pack):
+        out = (out << 63 // pack) | wide[x : x + len(ids)]
     return out
 
 
@@ -43,16 +50,16 @@ def _runs(ids: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(stop[::-1])[::-1] - at
 
 
-def suffix_array(ids: np.ndarray, depth: int, least: int) -> np.ndarray:
+def suffix_array(ids: np.ndarray, depth: int, least: int, pack: int = PACK) -> np.ndarray:
     """Places in the order of the words that follow, as far as ``depth``
     words; places with fewer than ``least`` known words are left out.
     The rank of a place doubles its reach in each round."""
     places = np.flatnonzero(_runs(ids) >= least)
-    rank = np.zeros(len(ids) + depth + PACK, np.int64)
-    every = _packed(ids)
+    rank = np.zeros(len(ids) + depth + pack, np.int64)
+    every = _packed(ids, pack)
     inner = np.flatnonzero(ids)
     rank[inner] = np.unique(every[inner], return_inverse=True)[1] + 1
-    reach = PACK
+    reach = pack
     while reach < depth:
         key = (rank[places] << 32) | rank[places + reach]
         if reach * 2 >= depth:
@@ -83,14 +90,15 @@ def _bound(suffixes: np.ndarray, corpus: np.ndarray, sought: np.ndarray, starts:
 def matches(ids: np.ndarray, sought: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Place in the shard, place in the items and length of every longest
     common passage of ``least`` words or more. 0 stands for no word."""
+    pack = _pack(int(sought.max(initial=0)))
     starts = np.flatnonzero(_runs(sought) >= least)
-    suffixes = suffix_array(ids, -(-least // PACK) * PACK, least)
+    suffixes = suffix_array(ids, -(-least // pack) * pack, least, pack)
     if not len(starts) or not len(suffixes):
         return (np.empty(0, np.int64),) * 3
-    steps = [*range(0, least - PACK + 1, PACK)]
-    if steps[-1] + PACK < least:
-        steps.append(least - PACK)
-    corpus, wanted = _packed(ids), _packed(sought)
+    steps = [*range(0, least - pack + 1, pack)]
+    if steps[-1] + pack < least:
+        steps.append(least - pack)
+    corpus, wanted = _packed(ids, pack), _packed(sought, pack)
     low = _bound(suffixes, corpus, wanted, starts, steps, False)
     count = _bound(suffixes, corpus, wanted, starts, steps, True) - low
     own = np.repeat(np.arange(len(starts)), count)
@@ -172,10 +180,13 @@ def leaked_passages(corpus: DataFrame, items: DataFrame, *, id_col: str, text_co
     held = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).where("id is not null and text is not null").distinct()
     held = materialise(held, "items")
     size = held.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_CHARS))
+    if size > BLOCK_CHARS:
+        held = materialise(running_total(held.withColumn("chars", F.length("text")), ["id", "text"], "chars", "before"), "blocks")
+    else:
+        held = held.withColumn("before", F.lit(0))
     out = None
-    for k in range(blocks):
-        block = [(x.id, x.text) for x in held.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()]
+    for k in range(size // BLOCK_CHARS + 1):
+        block = [(x.id, x.text) for x in held.where(F.floor(F.col("before") / BLOCK_CHARS) == k).collect()]
         found = docs.mapInArrow(_search(block, min_words), "doc_id long, item_id long, doc_word long, item_word long, n_words long")
         out = found if out is None else out.unionByName(found)
     return out.distinct()

@@ -60,6 +60,28 @@ def test_no_passage_runs_over_two_documents(spark):
     assert leaks(spark, docs, [(1, " ".join(w))], 12).count() == 0
 
 
+@pytest.mark.parametrize("least", [3, 5, 12])
+def test_more_words_than_three_to_a_number(spark, monkeypatch, least):
+    monkeypatch.setattr(K, "_pack", lambda different: 2)
+    rng = random.Random(least)
+    text = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
+    docs, items = [(k, text(60)) for k in range(20)], [(k, text(30)) for k in range(10)]
+    got = leaks(spark, docs, items, least).select("doc_id", "item_id").distinct()
+    assert sorted(tuple(r) for r in got.collect()) == brute(docs, items, least)
+
+
+def test_blocks_are_cut_by_size(spark, monkeypatch):
+    """No block holds more than the bound and the item that reaches it."""
+    monkeypatch.setattr(K, "BLOCK_CHARS", 300)
+    seen, search = [], K._search
+    monkeypatch.setattr(K, "_search", lambda block, least: seen.append(block) or search(block, least))
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(12 + 40 * (k == 3)))) for k in range(12)]
+    assert sorted((r.doc_id, r.item_id) for r in leaks(spark, items, items, 12).collect()) == brute(items, items, 12)
+    assert sorted(i for block in seen for i, _ in block) == list(range(12))
+    assert len(seen) > 2
+    assert all(sum(len(t) for _, t in block) - len(max(block, key=lambda x: x[0])[1]) < 300 for block in seen if block)
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     ids = rng.integers(0, 4, 500)
