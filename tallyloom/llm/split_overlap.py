@@ -136,7 +136,7 @@ def _encoder(min_words: int):
     return encode
 
 
-def _keys(common: np.ndarray, counts: np.ndarray):
+def _keys(common: np.ndarray, counts: np.ndarray, least_shared: float = LEAST_SHARED):
     """common: digests in the order of their frequency, with it. The ids of the
     rows are those of bags: a sum that two bags share costs a word check only."""
     order = np.argsort(common)
@@ -162,7 +162,7 @@ def _keys(common: np.ndarray, counts: np.ndarray):
             length = pieces & 0xFF
             before = np.cumsum(length) - length
             before -= before[np.searchsorted(owner, np.arange(len(n)))[owner]] if len(owner) else 0
-            own = n[owner] - before >= LEAST_SHARED * n[owner]
+            own = n[owner] - before >= least_shared * n[owner]
             owner, pieces, rank = owner[own], pieces[own], rank[by][own]
             times = np.where(rank > 0, shares[np.maximum(rank - 1, 0)], 1) if len(shares) else np.ones(len(pieces), np.int64)
             every = np.where(held[owner], times, 1)
@@ -197,12 +197,16 @@ def _candidates(permille: int):
     return pairs
 
 
-def split_overlap(held: DataFrame, other: DataFrame, *, threshold: float = 0.7, min_words: int = 12) -> SplitOverlap:
+def split_overlap(
+    held: DataFrame, other: DataFrame, *, threshold: float = 0.7, min_words: int = 12, least_shared: float = LEAST_SHARED
+) -> SplitOverlap:
     """Near-same records of a held-out split and of another.
 
     Both sides have the columns id (bigint), field and text; (field, id) is
     unique, and a row that comes twice counts once. Near-same is as in
-    ``near_copies``. Null, blank and shorter texts overlap with nothing.
+    ``near_copies``. Null, blank and shorter texts overlap with nothing. Pairs
+    that share less than ``least_shared`` of the longer record's chunks are not
+    looked at; with 0, all that share any chunk are.
     """
     permille = round(threshold * 1000)
     spark = held.sparkSession
@@ -224,7 +228,7 @@ def split_overlap(held: DataFrame, other: DataFrame, *, threshold: float = 0.7,
     common = counts.where(F.col("count") >= max(2.0, COMMON * records.count())).collect()
     common.sort(key=lambda x: (x["count"], x.piece))
     found = (
-        records.mapInArrow(_keys(*(np.asarray([x[k] for x in common], np.int64) for k in ("piece", "count"))), "key long, id long, held boolean, n int, bits binary")
+        records.mapInArrow(_keys(*(np.asarray([x[k] for x in common], np.int64) for k in ("piece", "count")), least_shared), "key long, id long, held boolean, n int, bits binary")
         .repartition(shuffle_width(spark), "key")
         .sortWithinPartitions("key", "held", "n")
         .mapInArrow(_candidates(permille), "a long, b long")
