@@ -19,7 +19,7 @@ from tallyloom.plans import pipelines
 from tallyloom.schemas import DATA2_SCORES
 from tallyloom.sources import sinks
 from tallyloom.sources import tables as T
-from tallyloom.storage import materialise, shared_folder, spread
+from tallyloom.storage import materialise, new_path, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,7 +106,7 @@ def toxicity_scan(spark: SparkSession, at: str) -> DataFrame:
 def csv_round_trip(spark: SparkSession, at: str) -> DataFrame:
     """Comments written as CSV and read by the typed CSV source."""
     rows = T.read_parquet(spark, at, "test").drop("src_pos", "created_at")
-    path = f"{shared_folder(spark)}/tallyloom/{spark.sparkContext.applicationId}/csv-test"
+    path = new_path(spark, "csv-test")
     sinks.save_csv(rows, path)
     back = T.read_comments(spark, path, labelled=False)
     return back.groupBy(F.trim("rule").alias("rule")).agg(F.count("*").alias("n_rows"), F.count("body").alias("n_bodies"), F.sum("row_id").alias("sum_row_id"))
@@ -440,7 +440,7 @@ def score_comments(spark: SparkSession, at: str) -> DataFrame:
 @query
 def submission(spark: SparkSession, at: str) -> DataFrame:
     """Scores written as the two-column CSV and read again."""
-    path = f"{shared_folder(spark)}/tallyloom/{spark.sparkContext.applicationId}/submission"
+    path = new_path(spark, "submission")
     sinks.save_submission(S.aggregate_predictions(_logits(spark, at)), path)
     return spark.read.schema("row_id long, rule_violation double").option("header", True).csv(path).select("row_id", F.round("rule_violation", 5).alias("rule_violation"))
 
@@ -448,6 +448,6 @@ def submission(spark: SparkSession, at: str) -> DataFrame:
 @query
 def pools_round_trip(spark: SparkSession, at: str) -> DataFrame:
     """Pools written by split and read again, one split only."""
-    path = f"{shared_folder(spark)}/tallyloom/{spark.sparkContext.applicationId}/pools"
+    path = new_path(spark, "pools")
     sinks.save_pools(P.split_pools(P.group_by_rule(_train(spark, at)), shared=False), path)
     return sinks.load_pools(spark, path, "holdout").groupBy("rule", "polarity").agg(F.count("*").alias("n_items"))

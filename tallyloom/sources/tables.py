@@ -17,15 +17,30 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, *
     """A CSV with a header, quoted texts over several lines and doubled quotes,
     typed by ``schema`` (its columns are found by name, others are skipped).
 
-    Texts that stand for a missing value become null. ``order`` numbers the
-    rows in the order of the files, since later steps ask for the first.
+    Texts that stand for a missing value become null. ``order`` grows with the
+    files by path, and with the rows within a file, since later steps ask for the
+    first; it has gaps. Texts run over several lines, so a file isn't split: it is
+    read by one task. Large tables should come as many files, or as Parquet.
     """
     names = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
-    rows = names.select(*(F.col(f"`{f.name}`") for f in schema))
+    rows = names.select(*(F.col(f"`{f.name}`") for f in schema), _file_order(names).alias(order))
     typed = [
         (na_to_null(F.col(f.name), na_tokens) if isinstance(f.dataType, T.StringType) else F.col(f.name).try_cast(f.dataType)).alias(f.name) for f in schema
     ]
-    return rows.withColumn(order, F.monotonically_increasing_id()).select(*typed, order)
+    return rows.select(*typed, order)
+
+
+def _file_order(scan: DataFrame) -> Column:
+    """Number of a row's file in the order of paths, then its place in the task
+    that reads the file (its lower 33 bits)."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    plain = lambda x: F.regexp_replace(x, "^([a-z0-9]+):/+", "$1:/")
+    files = sorted(scan.inputFiles())
+    if len(files) < 2:
+        return place
+    paths = F.transform(F.array(*(F.lit(x) for x in files)), plain)
+    number = F.array_position(paths, plain(F.col("_metadata.file_path")))
+    return F.shiftleft(number - 1, 33) + place
 
 
 def read_parquet(spark: SparkSession, folder: str, table: str, columns: list[str] | None = None) -> DataFrame:

@@ -177,3 +177,31 @@ def test_cleaning(spark):
     sided = T.by_polarity(spark.createDataFrame([(0.0, None), (float("nan"), 0.5), (float("nan"), None)], "a double, b double"), ("a", "b"))
     assert sorted(r.polarity for r in sided.collect()) == ["negatives", "negatives", "positives"]
     assert T.toxicity_paths("D")[0].startswith("D")
+
+
+def test_csv_order_is_that_of_the_files(spark, tmp_path):
+    """Spark packs files into tasks by size; the order is by path all the same."""
+    from pyspark.sql import types as T
+
+    from tallyloom.sources.tables import read_csv
+
+    sizes = [3, 400, 1, 250, 2, 90]
+    for k, n in enumerate(sizes):
+        rows = "".join(f'"text {k}\nline ""{j}"""\n' for j in range(n))
+        (tmp_path / f"part {k}.csv").write_text("body\n" + rows)
+    got = read_csv(spark, str(tmp_path), T.StructType([T.StructField("body", T.StringType())])).orderBy("src_pos").collect()
+    assert [r.body for r in got] == [f'text {k}\nline "{j}"' for k, n in enumerate(sizes) for j in range(n)]
+    assert len({r.src_pos for r in got}) == sum(sizes)
+
+
+def test_scope_removes_its_tables(spark, tmp_path, monkeypatch):
+    import os
+
+    from tallyloom import storage
+
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: f"file://{tmp_path}")
+    files = lambda: sum(len(f) for _, _, f in os.walk(tmp_path))
+    with storage.scope(spark):
+        assert storage.materialise(spark.range(5), "x").count() == 5
+        assert files() > 0
+    assert files() == 0
