@@ -98,6 +98,25 @@ def prompt_ids(tokenizer: Tokenizer, rule: str, support: str, support_label: str
     )
 
 
+def prompt_fragments(spark: SparkSession, tokenizer: Tokenizer, phrasings: DataFrame) -> DataFrame:
+    """fragment, rule, variant_no, ids: the pieces of a prompt that don't depend
+    on a comment, each encoded once. The fixed ones have no rule; the others are
+    the rule lines of all ``phrasings`` (rule, variant_no, text)."""
+    fixed = {"header": HEADER, "comment": COMMENT, "line_end": LINE_END, "violation_yes": VIOLATION_YES, "violation_no": VIOLATION_NO, "violation": VIOLATION}
+    none = spark.range(1).select(F.lit(None).cast("string").alias("rule"), F.lit(None).cast("int").alias("variant_no"))
+    each = F.array(*(F.struct(F.lit(k).alias("fragment"), tokenizer.constant(x).alias("ids")) for k, x in fixed.items()))
+    out = none.select("rule", "variant_no", F.explode(each).alias("x")).select("x.fragment", "rule", "variant_no", "x.ids")
+    lines = phrasings.select(F.lit("rule").alias("fragment"), F.trim("rule").alias("rule"), F.col("variant_no").cast("int").alias("variant_no"), tokenizer.ids(rule_line("text")).alias("ids"))
+    return out.unionByName(lines)
+
+
+def sample_ids(samples: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """``samples`` as training_samples gives them, with the ids of each prompt
+    and ends, the places of the last id of both "Violation:"."""
+    columns = ("rule_text", "support", "label_train", "target")
+    return samples.withColumns({"ids": prompt_ids(tokenizer, *columns), "ends": answer_positions(tokenizer, *columns)})
+
+
 def answer_positions(tokenizer: Tokenizer, rule: str, support: str, support_label: str, target: str) -> Column:
     """The places of the last id of both "Violation:", from 0. Exact if the
     answer lines begin with the ids of "Violation:" itself."""

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from tallyloom.functions.text import sanitized
 from tallyloom.operators.ordering import global_rank
 
+#: A public byte-level BPE vocabulary in tiktoken's form.
+BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: how that vocabulary's texts are cut before pairs are merged.
+BYTE_BPE_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Most ids of a vocabulary that every task gets a copy of (16 bytes each).
 MOST_HELD = 4_000_000
 

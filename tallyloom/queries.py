@@ -20,6 +20,7 @@ from tallyloom.schemas import DATA2_SCORES
 from tallyloom.sources import sinks
 from tallyloom.sources import tables as T
 from tallyloom.storage import materialise, new_path, spread
+from tallyloom.streaming import comments as C
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -298,6 +299,73 @@ def training_samples(spark: SparkSession, at: str) -> DataFrame:
     return E.training_samples(spark, side("train"), side("holdout"), _variants(spark, at), n=2000)
 
 
+def _weighed(ids: str) -> Column:
+    return F.aggregate(F.transform(ids, lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+@query
+def training_sample_ids(spark: SparkSession, at: str) -> DataFrame:
+    """The ids of an epoch's samples, and where their two answers end."""
+    got = E.sample_ids(training_samples(spark, at), BYTES)
+    return got.select("sample_id", "label_train", "label_test", F.size("ids").alias("n_ids"), _weighed("ids").alias("weighed"), F.col("ends")[0].alias("first_end"), F.col("ends")[1].alias("second_end"))
+
+
+@query
+def prompt_fragments(spark: SparkSession, at: str) -> DataFrame:
+    """The fixed pieces of prompts and the lines of all wordings, encoded."""
+    path = new_path(spark, "phrasings")
+    _variants(spark, at).write.parquet(path)
+    got = E.prompt_fragments(spark, BYTES, T.read_phrasings(spark, path))
+    return got.select("fragment", "rule", "variant_no", F.size("ids").alias("n_ids"), _weighed("ids").alias("weighed"))
+
+
+@query
+def tokens_round_trip(spark: SparkSession, at: str) -> DataFrame:
+    """Encoded pools written and read again."""
+    path = new_path(spark, "tokens")
+    sinks.save_tokens(V.tokenize_pools(P.fan_out(_union(spark, at), _rules(spark, at)).items, BYTES), path)
+    return sinks.load_tokens(spark, path).groupBy("pool_id").agg(F.count("*").alias("n_items"), F.sum(F.size("ids")).alias("n_ids"), F.max("pos").alias("last_pos"))
+
+
+@query
+def public_tokens(spark: SparkSession, at: str) -> DataFrame:
+    """Number of ids of each comment in a public vocabulary."""
+    rows = spread(T.read_parquet(spark, at, "train", ["src_pos", "body"]))
+    return rows.select("src_pos", V.PublicTokenizer(V.BYTE_BPE, V.BYTE_BPE_PATTERN).length(F.col("body")).alias("n_ids"))
+
+
+@query
+def own_negatives(spark: SparkSession, at: str) -> DataFrame:
+    """Which pool each rule uses, where each has negatives of its own."""
+    refs = P.group_by_rule(_train(spark, at)).select("rule", "polarity", F.concat_ws("/", "rule", "polarity").alias("pool_id")).distinct()
+    return P.own_negatives(refs)
+
+
+@query
+def toxicity_csv(spark: SparkSession, at: str) -> DataFrame:
+    """The four sets written as CSV and read as one by the typed source."""
+    paths = {}
+    for name in ("data2_positive", "data2_negative", "data3_positive", "data3_negative"):
+        paths[name] = new_path(spark, name)
+        sinks.save_csv(T.read_parquet(spark, at, name).drop("src_pos", "created_at"), paths[name])
+    rows = T.read_toxicity(spark, *paths.values())
+    high = F.count_if((F.col("severe_toxicity") >= 0.33) & ~F.isnan("severe_toxicity"))
+    return rows.groupBy("dataset", "polarity").agg(F.count("*").alias("n_rows"), F.count("comment_text").alias("n_texts"), high.alias("n_severe"))
+
+
+@query
+def stream_violations(spark: SparkSession, at: str) -> DataFrame:
+    """Violations per day and rule, counted by a stream over the table's files."""
+    source, sink = new_path(spark, "stream"), new_path(spark, "counts")
+    train = T.read_parquet(spark, at, "train", ["src_pos", "rule", "rule_violation", "created_at"])
+    train.write.parquet(source)
+    counts = C.violations_per_window(C.read_comments(spark, source, train.schema))
+    run = counts.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(sink))
+    run.trigger(availableNow=True).option("checkpointLocation", new_path(spark, "offsets")).start().awaitTermination()
+    got = spark.read.parquet(sink)
+    return got.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "rule", "n_comments", "n_violations")
+
+
 @query
 def tokenize_pools(spark: SparkSession, at: str) -> DataFrame:
     items = P.fan_out(_union(spark, at), _rules(spark, at)).items
@@ -345,6 +413,14 @@ def mean_embedding(spark: SparkSession, at: str) -> DataFrame:
     return V.mean_vector(_embeddings(spark, at), "embedding").select("dim", F.round("mean", 6).alias("mean"))
 
 
+@query
+def head_round_trip(spark: SparkSession, at: str) -> DataFrame:
+    """A head written and read again, applied to hidden states."""
+    vectors, path = _embeddings(spark, at), new_path(spark, "head")
+    sinks.save_head(_head(vectors), path)
+    return S.linear_head(vectors, T.read_head(spark, path), "vec_id", "embedding").select("vec_id", "class_id", F.round("logit", 5).alias("logit"))
+
+
 def _head(vectors: DataFrame) -> DataFrame:
     """Two rows of weights: the first vectors with label 0 and 1."""
     first = vectors.where("label < 2").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("w"))

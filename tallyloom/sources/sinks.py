@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.schemas import POOL_TOKENS
+
 
 def save_pools(pools: DataFrame, path: str) -> None:
     """split, rule, polarity, pos, text by split, and beside them the counts.
@@ -25,9 +27,19 @@ def metadata(pools: DataFrame) -> DataFrame:
 
 
 def save_tokens(tokens: DataFrame, path: str) -> None:
+    """pool_id, pos, ids as Parquet."""
     tokens.write.mode("overwrite").parquet(path)
 
 
+def load_tokens(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(POOL_TOKENS).parquet(path)
+
+
+def save_head(head: DataFrame, path: str) -> None:
+    """class_id, w of a model's few classes, as one Parquet file."""
+    head.select("class_id", "w").coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def save_csv(df: DataFrame, path: str) -> None:
     """Texts as they are, outer blanks, quotes and line ends included, so that
     read_csv gets them back."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +66,32 @@ def toxicity_paths(folder: str = "Data") -> tuple[str, str, str, str]:
     return tuple(os.path.join(folder, f"Data{n}", f"data{n}_{side}.csv") for n in (2, 3) for side in ("positive", "negative"))
 
 
+def read_head(spark: SparkSession, path: str, *, by_class: bool = False) -> DataFrame:
+    """class_id, w: a model head's weights, a row per class. Parquet has them in
+    that form; a NumPy file (.npy) as a matrix, hidden size by classes or, with
+    ``by_class``, classes by hidden size."""
+    if not path.endswith(".npy"):
+        return spark.read.schema(schemas.HEAD).parquet(path)
+    matrix = np.load(path.removeprefix("file://"), allow_pickle=False)
+    if matrix.ndim != 2:
+        raise ValueError(f"a matrix is needed, not {matrix.ndim} dimensions")
+    rows = matrix if by_class else matrix.T
+    return spark.createDataFrame([(k, [float(x) for x in w]) for k, w in enumerate(rows)], schemas.HEAD)
+
+
+def read_phrasings(spark: SparkSession, path: str) -> DataFrame:
+    """rule, variant_no, text: the wordings that a rule may be given by in a
+    prompt, numbered from 0 in their order. ``path``: Parquet with rule and text
+    and, where the order matters, variant_no. Null and repeated wordings drop out."""
+    df = spark.read.parquet(path)
+    number = F.col("variant_no") if "variant_no" in df.columns else F.lit(0)
+    rows = df.select(F.trim("rule").alias("rule"), "text", number.alias("no")).where("rule is not null and text is not null")
+    first = rows.groupBy("rule", "text").agg(F.min("no").alias("no"))
+    # a rule has few wordings
+    listed = first.groupBy("rule").agg(F.array_sort(F.collect_list(F.struct("no", "text"))).alias("all"))
+    return listed.select("rule", F.posexplode("all").alias("variant_no", "x")).select("rule", "variant_no", "x.text")
+
+
 def attach_labels(comments: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
     """Comments with their labels; a label of -1 means unlabelled and drops."""
     return comments.join(labels, key).where(F.col(label) != -1)

@@ -347,6 +347,15 @@ ORACLE |= {
         f"SELECT d.rule, 'negatives', u.comment_text FROM rule_def d, ({_UNION}) u WHERE u.polarity = 'negatives' AND d.rule_key IN ({_SCORE_RULES})"
     ),
     "unique_negatives": f"SELECT rule, count(DISTINCT text) + max((text IS NULL)::int) AS unique_count FROM ({_PLAIN}) WHERE polarity = 'negatives' GROUP BY 1",
+    "own_negatives": f"SELECT DISTINCT rule, polarity, rule || '/' || polarity AS pool_id FROM ({_PLAIN})",
+    "toxicity_csv": f"SELECT dataset, polarity, count(*) AS n_rows, count(CASE WHEN comment_text NOT IN ({', '.join(map(_text, NA_TOKENS))}) THEN 1 END) AS n_texts, "
+    "count(CASE WHEN s >= 0.33 AND NOT isnan(s) THEN 1 END) AS n_severe FROM ("
+    + " UNION ALL ".join(
+        f"SELECT {n} AS dataset, '{side}s' AS polarity, comment_text, severe_toxicity AS s FROM data{n}_{side}" for n in (2, 3) for side in ("positive", "negative")
+    )
+    + ") GROUP BY 1, 2",
+    "stream_violations": "SELECT strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, trim(rule) AS rule, count(*) AS n_comments, count(*) FILTER (rule_violation = 1) AS n_violations "
+    "FROM train WHERE created_at IS NOT NULL GROUP BY 1, 2",
     "clean_negatives": f"SELECT DISTINCT text FROM ({_PLAIN}) WHERE polarity = 'negatives' AND text <> ''",
     "expand_rows": "SELECT src_pos, row_id, variant, CASE variant WHEN 0 THEN 'positives' ELSE 'negatives' END AS polarity "
     "FROM test, (SELECT unnest([0, 1])::int AS variant)",
@@ -375,6 +384,7 @@ _LOGITS = (
 
 ORACLE |= {
     "mean_embedding": "SELECT i AS dim, round(avg(x), 6) AS mean FROM (SELECT unnest(embedding)::double AS x, unnest(range(len(embedding)))::int AS i FROM embeddings) GROUP BY i",
+    "head_round_trip": _LOGITS + "SELECT vec_id, class_id, round(logit, 5) AS logit FROM flat",
     "linear_head": _LOGITS + "SELECT vec_id, class_id, round(logit, 5) AS logit FROM flat",
     "logit_bags": _LOGITS + "SELECT row_id, count(*) AS n_variants, round(max_by(logit_yes, variant), 5) AS last_yes FROM logits GROUP BY row_id",
     "margin_by_row": _LOGITS + "SELECT row_id, round(margin, 5) AS rule_violation FROM scores",
@@ -399,6 +409,16 @@ def _bytes(table: str, column: str) -> str:
     return f"SELECT src_pos, i, ('0x' || substr(h, 2 * i - 1, 2))::int AS id FROM ({rows})"
 
 
+_SAMPLE_BEFORE = f"{_text(HEADER[:-1])} || chr(10) || 'Rule: ' || rule_text || chr(10) || '{COMMENT}' || support || chr(10)"
+_SAMPLE_BEHIND = f"CASE label_train WHEN 1 THEN 'Violation: Yes' ELSE 'Violation: No' END || chr(10) || '{COMMENT}' || target || chr(10) || '{VIOLATION}'"
+_FRAGMENTS = (
+    "SELECT fragment, NULL AS rule, NULL::int AS variant_no, p FROM (VALUES "
+    f"('header', {_text(HEADER[:-1])} || chr(10)), ('comment', '{COMMENT}'), ('line_end', chr(10)), ('violation_yes', 'Violation: Yes' || chr(10)), "
+    f"('violation_no', 'Violation: No' || chr(10)), ('violation', '{VIOLATION}')) AS f(fragment, p) UNION ALL "
+    "SELECT 'rule', rule, (row_number() OVER (PARTITION BY rule ORDER BY no) - 1)::int, 'Rule: ' || text || chr(10) FROM (SELECT rule, text, min(no) AS no FROM "
+    "(SELECT rule, unnest([rule, lower(rule), upper(rule), 'Please note: ' || rule, rule || '!']) AS text, unnest(range(5)) AS no FROM "
+    "(SELECT DISTINCT trim(rule) AS rule FROM train WHERE rule IS NOT NULL)) GROUP BY 1, 2)"
+)
 _PROMPT_BYTES = f"SELECT src_pos, variant, unnest(range(1, strlen(p) + 1)) AS i, hex(encode(p)) AS h FROM (SELECT src_pos, variant, {_PROMPT} AS p FROM ({_SUPPORTED})) WHERE p IS NOT NULL"
 
 ORACLE |= {
@@ -410,6 +430,16 @@ ORACLE |= {
     f"SELECT b.src_pos, count(*) AS n_ids, sum(coalesce(v.new_id, (SELECT count(*) FROM v)) * b.i)::bigint AS weighed FROM ({_bytes('train', 'body')}) b "
     "LEFT JOIN v ON v.id = b.id GROUP BY b.src_pos",
     "prompt_tokens": f"SELECT src_pos, variant, count(*) AS n_ids, sum(('0x' || substr(h, 2 * i - 1, 2))::bigint * i)::bigint AS weighed FROM ({_PROMPT_BYTES}) GROUP BY 1, 2",
+    "training_sample_ids": f"SELECT sample_id, label_train, label_test, count(*) AS n_ids, sum(('0x' || substr(h, 2 * i - 1, 2))::bigint * i)::bigint AS weighed, "
+    "any_value(first_end) AS first_end, any_value(second_end) AS second_end FROM (SELECT *, unnest(range(1, strlen(p) + 1)) AS i, hex(encode(p)) AS h FROM "
+    f"(SELECT sample_id, label_train, label_test, {_SAMPLE_BEFORE} || {_SAMPLE_BEHIND} AS p, strlen({_SAMPLE_BEFORE} || '{VIOLATION}') - 1 AS first_end, "
+    f"strlen({_SAMPLE_BEFORE} || {_SAMPLE_BEHIND}) - 1 AS second_end FROM ({_samples(2000)})) WHERE p IS NOT NULL) GROUP BY 1, 2, 3 UNION ALL "
+    f"SELECT sample_id, label_train, label_test, NULL, NULL, CASE WHEN support IS NOT NULL THEN strlen({_SAMPLE_BEFORE} || '{VIOLATION}') - 1 END, NULL "
+    f"FROM ({_samples(2000)}) WHERE support IS NULL OR target IS NULL",
+    "prompt_fragments": "SELECT fragment, rule, variant_no, count(*) AS n_ids, sum(('0x' || substr(h, 2 * i - 1, 2))::bigint * i)::bigint AS weighed FROM "
+    f"(SELECT fragment, rule, variant_no, unnest(range(1, strlen(p) + 1)) AS i, hex(encode(p)) AS h FROM ({_FRAGMENTS})) GROUP BY 1, 2, 3",
+    "tokens_round_trip": "SELECT pool_id, count(*) AS n_items, sum(strlen(s))::bigint AS n_ids, count(*) - 1 AS last_pos "
+    f"FROM (SELECT pool_id, {_replace('text', *_STRIP)} AS s FROM ({_ITEMS})) WHERE s <> '' AND lower(s) NOT IN ('nan', 'none') GROUP BY 1",
     "tokenize_pools": f"SELECT pool_id, row_number() OVER (PARTITION BY pool_id ORDER BY pos) - 1 AS pos, strlen(s) AS n_ids "
     f"FROM (SELECT pool_id, pos, {_replace('text', *_STRIP)} AS s FROM ({_ITEMS})) WHERE s <> '' AND lower(s) NOT IN ('nan', 'none')",
 }

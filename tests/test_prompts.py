@@ -116,3 +116,22 @@ def test_score_comments_end_to_end(spark, sf):
     got = pipelines.score_comments(test, scorer)
     assert got.count() == test.select("row_id").distinct().count()
     assert {r.rule_violation for r in got.collect()} == {0.5}
+
+
+def test_fragments_are_the_pieces_of_prompts(spark):
+    phrasings = spark.createDataFrame([(" Be kind ", 0, "Be kind"), ("Be kind", 1, "No insults")], "rule string, variant_no int, text string")
+    got = {(r.fragment, r.rule, r.variant_no): bytes(r.ids).decode() for r in E.prompt_fragments(spark, V.ByteTokenizer(), phrasings).collect()}
+    assert got["header", None, None] == E.HEADER
+    assert got["rule", "Be kind", 1] == "Rule: No insults\n"
+    assert len(got) == 8
+
+
+def test_sample_ids_and_their_answers(spark):
+    data = [(1, "Be kind", "some é support", 1, "target"), (2, "Be kind", None, 0, "x")]
+    samples = spark.createDataFrame(data, "sample_id int, rule_text string, support string, label_train int, target string")
+    one, two = E.sample_ids(samples, V.ByteTokenizer()).orderBy("sample_id").collect()
+    text = bytes(one.ids)
+    assert text.decode().count("some é support") == 1
+    assert [text[: k + 1][-10:] for k in one.ends] == [b"Violation:", b"Violation:"]
+    assert one.ends[1] == len(text) - 1
+    assert two.ids is None

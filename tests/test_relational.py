@@ -205,3 +205,55 @@ def test_scope_removes_its_tables(spark, tmp_path, monkeypatch):
         assert storage.materialise(spark.range(5), "x").count() == 5
         assert files() > 0
     assert files() == 0
+
+
+@pytest.mark.parametrize("by_class", [False, True])
+def test_head_from_a_matrix(spark, tmp_path, by_class):
+    import numpy as np
+
+    from tallyloom.sources.tables import read_head
+
+    matrix = np.arange(6, dtype=np.float32).reshape((2, 3) if by_class else (3, 2))
+    np.save(tmp_path / "head.npy", matrix)
+    got = {r.class_id: list(r.w) for r in read_head(spark, str(tmp_path / "head.npy"), by_class=by_class).collect()}
+    assert got == {k: list(w) for k, w in enumerate(matrix if by_class else matrix.T)}
+    np.save(tmp_path / "flat.npy", np.arange(6))
+    with pytest.raises(ValueError, match="dimensions"):
+        read_head(spark, str(tmp_path / "flat.npy"))
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_remap_either_way(spark, most):
+    from tallyloom.operators import tokens as V
+
+    df = spark.createDataFrame([(1, [5, 7, 9, None]), (2, []), (3, None)], "k int, ids array<int>")
+    vocab = spark.createDataFrame([(5, 0), (9, 1)], "old_id int, new_id long")
+    assert {r.k: r.ids for r in V.remap(df, vocab, ["k"], most=most).collect()} == {1: [0, 2, 1, 2], 2: [], 3: None}
+
+
+def test_byte_ids(spark):
+    from tallyloom.operators import tokens as V
+
+    texts = ["plain", "é​😀", "", None, "x" * 100_000]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").repartition(2)
+    got = {r.k: r.ids for r in df.select("k", V.ByteTokenizer().ids(df.t).alias("ids")).collect()}
+    assert got == {k: None if t is None else list(t.encode()) for k, t in enumerate(texts)}
+
+
+def test_public_tokens_are_the_text_again(spark, sf):
+    import base64
+
+    from tallyloom.operators import tokens as V
+
+    with open(V.BYTE_BPE, "rb") as f:
+        words = {int(b): base64.b64decode(a) for a, b in (x.split() for x in f.read().splitlines() if x)}
+    df = spark.read.parquet(f"{sf}/train.parquet").where("body is not null")
+    for r in df.select("body", V.PublicTokenizer(V.BYTE_BPE, V.BYTE_BPE_PATTERN).ids(df.body).alias("ids")).limit(200).collect():
+        assert b"".join(words[x] for x in r.ids).decode() == r.body
+
+
+def test_null_and_empty_negatives_are_two(spark):
+    from tallyloom.operators import pools as P
+
+    data = [("r", "negatives", 0, None), ("r", "negatives", 1, ""), ("r", "negatives", 2, "x"), ("r", "positives", 0, "y")]
+    assert P.unique_negatives(spark.createDataFrame(data, "rule string, polarity string, pos int, text string")).first().unique_count == 3
