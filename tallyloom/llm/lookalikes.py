@@ -44,6 +44,7 @@ _DROP_ALL = {ord(c): None for c in ZERO_WIDTH}
 _IGNORED = "".join(ZERO_WIDTH)
 _TOKEN = re.compile(rf"[^\W_](?:[^\W_]|[{_IGNORED}]|[̀-ͯ])*")
 _PLAIN = re.compile(r"[^\W_]+")
+_SPACES = re.compile("[" + "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) == "Zs") + "]")
 _SAME_SHAPE = str.maketrans("il1|0", "lllIo")
 
 
@@ -163,7 +164,8 @@ def rebuilt(text: str, spelled: dict[str, str]) -> str:
             out += [text[at : m.start()], spelled[m[0]]]
             at = m.end()
     out.append(text[at:])
-    return unicodedata.normalize("NFKC", _drop_invisible("".join(out)))
+    whole = unicodedata.normalize("NFKC", _drop_invisible("".join(out)))
+    return whole if whole.isascii() else _SPACES.sub(" ", whole)
 
 
 def _suspect(token: str) -> bool:
@@ -239,7 +241,8 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, pairs in zip(batch.column("text").to_pylist(), batch.column("pairs").to_pylist(), strict=True):
             spelled = {x["word"]: x["form"] for x in pairs or ()}
             texts.append(rebuilt(text, spelled))
-            kinds.append(variants(text, spelled))
+            # a text holds variants if its consistent form is another
+            kinds.append(variants(text, spelled) if texts[-1] != text else 0)
         yield pa.RecordBatch.from_arrays(
             [batch.column("grp"), batch.column("id"), pa.array(texts, pa.string()), pa.array(kinds, pa.int32())], ["grp", "id", "text", "variants"]
         )

@@ -14,6 +14,7 @@ CASES = [
     ("tea​cup", L.INVISIBLE),
     ("so\xadft", L.INVISIBLE),
     ("no\xa0break and　wide", L.SPACE),
+    ("ogham\u1680space", L.SPACE),
     ("уоur сode", L.LOOK),
     ("Τhe ο", L.LOOK),
     ("привет σπίτι друзья", 0),
