@@ -55,7 +55,8 @@ OUTER_BLANKS = Step(r"\A[\s\x1c-\x1f]+|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++\Z", "")
 OUTER_QUOTES = Step(r"\A(?:\"\Z|\"([\s\S]*)\"\Z)", "$1")
 LETTERS = Step(r"([a-zA-Z])\1{2,}", "$1$1")
 NON_LETTERS = Step(r"([^a-zA-Z\s])\1+", "$1")
-# Possessive, so that thousands of repeats don't exhaust the stack.
+REPEATED = r"\b(\w+)(\s+\1){1,}\b"
+# The same for Java: possessive, so that thousands of repeats don't exhaust the stack.
 WORDS = Step(r"(?<!\w)(\w+)(?:\s+\1(?!\w))++", "$1", True)
 BLANKS = Step(r"[ \t]+", " ")
 

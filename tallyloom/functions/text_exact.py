@@ -12,11 +12,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import patterns as P
 
-_REPEATED = r"\b(\w+)(\s+\1){1,}\b"
-
 
 def _compiled(step: P.Step) -> tuple[re.Pattern, str]:
-    pattern = _REPEATED if step is P.WORDS else step.pattern
+    pattern = P.REPEATED if step is P.WORDS else step.pattern
     return re.compile(pattern, re.IGNORECASE if step.ignore_case else 0), re.sub(r"\$(\d)", r"\\\1", step.replacement)
 
 
