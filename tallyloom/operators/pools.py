@@ -6,6 +6,7 @@ score rules share are stored once and referred to.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -61,36 +62,45 @@ def nested(pools: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class ScorePools:
-    """items: pool_id, pos, text; refs: rule_key, rule, polarity, pool_id."""
+    """items: pool_id, pos, text, and what they were grouped by besides; refs:
+    rule_key, rule, polarity, pool_id."""
 
     items: DataFrame
     refs: DataFrame
 
     def long(self) -> DataFrame:
-        """rule_key, rule, polarity, pos, text; a rule without examples has no row."""
-        return self.refs.join(self.items, "pool_id").select("rule_key", "rule", "polarity", "pos", "text")
+        """rule_key, rule, polarity, and the items but for pool_id; a rule without
+        examples has no row."""
+        own = [c for c in self.items.columns if c != "pool_id"]
+        return self.refs.join(self.items, "pool_id").select("rule_key", "rule", "polarity", *own)
 
 
-def scored(union: DataFrame, threshold: float, text: str = "comment_text", order: str = "src_pos") -> DataFrame:
-    """rule_key, dataset, src_pos, text of positives whose score reaches the
+def scored(union: DataFrame, threshold: float, text: str = "comment_text", order: str = "src_pos", by: Sequence[str] = ()) -> DataFrame:
+    """rule_key, dataset, src_pos, text and the columns ``by`` of positives whose score reaches the
     threshold: one row for every score that does. NaN doesn't."""
     pairs = {2: DATA2_SCORES, 3: DATA3_SCORES}
     every = dict.fromkeys(c for scores in pairs.values() for c in scores)
     items = [F.struct(F.lit(c).alias("rule_key"), F.col(c).alias("score"), F.array(*(F.lit(d) for d in pairs if c in pairs[d])).alias("sets")) for c in every]
-    rows = union.where("polarity = 'positives'").select("dataset", F.col(order).alias("src_pos"), F.col(text).alias("text"), F.explode(F.array(*items)).alias("x"))
+    rows = union.where("polarity = 'positives'").select(*by, "dataset", F.col(order).alias("src_pos"), F.col(text).alias("text"), F.explode(F.array(*items)).alias("x"))
     reached = (F.col("x.score") >= threshold) & ~F.isnan("x.score") & F.array_contains("x.sets", F.col("dataset"))
-    return rows.where(reached).select("x.rule_key", "dataset", "src_pos", "text")
+    return rows.where(reached).select("x.rule_key", "dataset", "src_pos", "text", *by)
 
 
-def fan_out(union: DataFrame, rule_def: DataFrame, *, threshold: float = 0.33, text: str = "comment_text", order: str = "src_pos") -> ScorePools:
+def fan_out(
+    union: DataFrame, rule_def: DataFrame, *, threshold: float = 0.33, text: str = "comment_text", order: str = "src_pos", by: Sequence[str] = (), ranked: bool = True
+) -> ScorePools:
     """Pools of the score rules from toxicity_union: positives by score, the
-    second set before the third; negatives of both sets once, for all rules."""
-    positives = global_rank(scored(union, threshold, text, order), ["rule_key"], ["dataset", "src_pos"])
-    negatives = union.where("polarity = 'negatives'").select("dataset", F.col(order).alias("src_pos"), F.col(text).alias("text"))
-    negatives = global_rank(negatives, [], ["dataset", "src_pos"])
-    items = positives.select(F.concat("rule_key", F.lit("/positives")).alias("pool_id"), "pos", "text").unionByName(
-        negatives.select(F.lit("shared/negatives").alias("pool_id"), "pos", "text")
-    )
+    second set before the third; negatives of both sets once, for all rules.
+    ``by``: columns whose values have pools of their own. Without ``ranked`` the
+    items have no places (pos is null), which saves the sort."""
+    positives = scored(union, threshold, text, order, by).withColumn("pool_id", F.concat("rule_key", F.lit("/positives")))
+    negatives = union.where("polarity = 'negatives'").select("dataset", F.col(order).alias("src_pos"), F.col(text).alias("text"), *by)
+    items = positives.drop("rule_key").unionByName(negatives.withColumn("pool_id", F.lit("shared/negatives")))
+    if ranked:
+        items = global_rank(items, [*by, "pool_id"], ["dataset", "src_pos"])
+    else:
+        items = items.withColumn("pos", F.lit(None).cast("long"))
+    items = items.select("pool_id", "pos", "text", *by)
     known = rule_def.where(F.col("rule_key").isin(*dict.fromkeys((*DATA2_SCORES, *DATA3_SCORES))))
     refs = known.select("rule_key", "rule", F.lit("positives").alias("polarity"), F.concat("rule_key", F.lit("/positives")).alias("pool_id")).unionByName(
         known.select("rule_key", "rule", F.lit("negatives").alias("polarity"), F.lit("shared/negatives").alias("pool_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,27 +20,29 @@ from tallyloom.storage import materialise, spread
 SCORE_NEGATIVES = "*scores"
 
 
-def _score_pools(union: DataFrame, rule_def: DataFrame, threshold: float) -> DataFrame:
-    """rule, polarity, pos, text: positives by rule, the shared negatives once."""
-    pools = fan_out(union, rule_def, threshold=threshold)
-    own = pools.long().where("polarity = 'positives'").select("rule", "polarity", "pos", "text")
+def _score_pools(union: DataFrame, rule_def: DataFrame, threshold: float, by: Sequence[str] = (), ranked: bool = True) -> DataFrame:
+    """rule, polarity, pos, text and the columns ``by``: positives by rule, the
+    shared negatives once."""
+    pools = fan_out(union, rule_def, threshold=threshold, by=by, ranked=ranked)
+    own = pools.long().where("polarity = 'positives'").select("rule", "polarity", "pos", "text", *by)
     shared = pools.items.where("pool_id = 'shared/negatives'")
-    return own.unionByName(shared.select(F.lit(SCORE_NEGATIVES).alias("rule"), F.lit("negatives").alias("polarity"), "pos", "text"))
+    return own.unionByName(shared.select(F.lit(SCORE_NEGATIVES).alias("rule"), F.lit("negatives").alias("polarity"), "pos", "text", *by))
 
 
-def toxicity_pools(union: DataFrame, rule_def: DataFrame, *, threshold: float = 0.33, fraction: float = 0.7, seed: int = 42) -> DataFrame:
+def toxicity_pools(
+    union: DataFrame, rule_def: DataFrame, *, threshold: float = 0.33, fraction: float = 0.7, seed: int = 42, ranked: bool = True
+) -> DataFrame:
     """split, rule, polarity, pos, text of the score rules: the texts are
     cleaned and split first, then handed to every rule they score for."""
     rows = materialise(split_toxicity(union, fraction=fraction, seed=seed), "split")
-    parts = [_score_pools(rows.where(F.col("split") == s), rule_def, threshold).withColumn("split", F.lit(s)) for s in ("train", "holdout")]
-    return parts[0].unionByName(parts[1]).select("split", "rule", "polarity", "pos", "text")
+    return _score_pools(rows, rule_def, threshold, ["split"], ranked).select("split", "rule", "polarity", "pos", "text")
 
 
 def toxicity_pools_group_first(union: DataFrame, rule_def: DataFrame, *, threshold: float = 0.33, fraction: float = 0.7, seed: int = 42) -> DataFrame:
     """split, rule, polarity, text: handed to the rules first, without
     cleaning, and each pool split then. Shared negatives are cleaned and split
     once."""
-    pools = _score_pools(union, rule_def, threshold)
+    pools = _score_pools(union, rule_def, threshold, ranked=False)
     negatives = pools.where("polarity = 'negatives' and text is not null and text <> ''").select("rule", "polarity", "text").distinct()
     both = pools.where("polarity = 'positives'").select("rule", "polarity", "text").unionByName(negatives)
     out = split_by_hash(both, ["rule", "polarity"], "text", fraction=fraction, seed=seed, prefix=["rule", "polarity"])
@@ -51,7 +53,7 @@ def build_pools(train: DataFrame, union: DataFrame, rule_def: DataFrame, *, thre
     """split, rule, polarity, text of all rules: those of the comment table
     split by rule, those of the scores; of a rule in both, the scores'."""
     own = split_pools(group_by_rule(train, include_body=True), fraction=fraction, seed=seed)
-    return combine(own, toxicity_pools(union, rule_def, threshold=threshold, fraction=fraction, seed=seed).drop("pos"))
+    return combine(own, toxicity_pools(union, rule_def, threshold=threshold, fraction=fraction, seed=seed, ranked=False).drop("pos"))
 
 
 def score_comments(test: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], *, pools: DataFrame | None = None, seed: int | None = None) -> DataFrame:

@@ -224,7 +224,7 @@ def shared_negatives(spark: SparkSession, at: str) -> DataFrame:
 
 @query
 def shared_negatives_of_scores(spark: SparkSession, at: str) -> DataFrame:
-    return P.negatives_report(P.fan_out(_union(spark, at), _rules(spark, at)).long())
+    return P.negatives_report(P.fan_out(_union(spark, at), _rules(spark, at), ranked=False).long())
 
 
 @query
@@ -294,8 +294,9 @@ def _variants(spark: SparkSession, at: str) -> DataFrame:
 @query
 def training_samples(spark: SparkSession, at: str) -> DataFrame:
     """Samples of an epoch from split pools."""
-    split = materialise(P.split_pools(P.group_by_rule(_train(spark, at), include_body=True), shared=False), "split")
-    side = lambda s: global_rank(split.where(F.col("split") == s), ["rule", "polarity"], ["text"]).select("rule", "polarity", "pos", "text")
+    split = P.split_pools(P.group_by_rule(_train(spark, at), include_body=True), shared=False)
+    placed = materialise(global_rank(split, ["split", "rule", "polarity"], ["text"]), "split")
+    side = lambda s: placed.where(F.col("split") == s).select("rule", "polarity", "pos", "text")
     return E.training_samples(spark, side("train"), side("holdout"), _variants(spark, at), n=2000)
 
 
